@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import media, mixing, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,5 +21,36 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
-QUERIES = {"op4_token_output": op4_token_output}
-ORACLES: dict[str, str] = {}
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_source_mix": op1_source_mix, "op4_token_output": op4_token_output, "op10_media_archive": op10_media_archive}
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS lim FROM s),
+o AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+        sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(source_size) OVER () * 150 AS budget FROM w),
+l AS (SELECT max(CAST(budget - stopped * 100 AS DOUBLE) / CAST(rest * 100 AS DOUBLE)) AS level FROM o
+      WHERE CAST(budget - stopped * 100 AS DOUBLE) / CAST(rest * 100 AS DOUBLE) <= lim / weight),
+t AS (SELECT source, source_size, CASE WHEN level * weight < lim THEN level * weight ELSE CAST(lim AS DOUBLE) END AS target FROM o, l),
+q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+turns AS (SELECT q.*, p.pass, CAST(upto + p.pass * source_size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) p(pass) WHERE size > 0),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, source ASC NULLS LAST, key, doc_id, size, pass ROWS UNBOUNDED PRECEDING) AS run FROM turns),
+k AS (SELECT doc_id, source, size, count(*) AS copies FROM r WHERE run <= (SELECT sum(size) * 150 // 100 FROM d) GROUP BY doc_id, source, size)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(k.copies, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.source IS NOT DISTINCT FROM k.source AND q.size = k.size
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mix": OP1_SQL}
