@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, minhash, mixing, tokens
+from . import decontam, media, minhash, mixing, repeats, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,11 +33,15 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_token_output": op4_token_output, "op7_benchmark_leaks": op7_benchmark_leaks, "op10_media_archive": op10_media_archive}
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op7_benchmark_leaks": op7_benchmark_leaks, "op10_media_archive": op10_media_archive}
 
 OP1_SQL = """
 WITH d AS (
