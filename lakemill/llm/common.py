@@ -133,12 +133,12 @@ with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P)) | np.uint64(1)
 
 
-def spans_of_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans_of_words(data: np.ndarray, offs: np.ndarray, space_of: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the index of its first word (n + 1 entries)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    space = SPACE[data]
+    space = space_of[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     word = ~space
@@ -184,3 +184,24 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     keep[first[:-1][short]] = True
     at = np.flatnonzero(keep)
     return h[at], at
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 capitals of UTF-8 folded."""
+    out = _LOWER[data]
+    if len(out) > 1:
+        at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[at] += 0x20
+    return out
+
+
+def letter_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes; start and end of each run of ASCII letters and bytes over 127; each text's first run."""
+    low = lower(data)
+    return (low, *spans_of_words(low, offs, NOT_LETTER))

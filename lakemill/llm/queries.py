@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, minhash, mixing, repeats, tokens
+from . import decontam, langid, media, minhash, mixing, repeats, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +37,15 @@ def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"), parts=4, part=2)
+
+
 def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op7_benchmark_leaks": op7_benchmark_leaks, "op10_media_archive": op10_media_archive}
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op7_benchmark_leaks": op7_benchmark_leaks, "op8_language_id": op8_language_id, "op10_media_archive": op10_media_archive}
 
 OP1_SQL = """
 WITH d AS (
