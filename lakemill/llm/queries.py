@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, minhash, mixing, repeats, tokens
+from . import decontam, langid, media, minhash, mixing, repeats, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,11 +41,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"), parts=4, part=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), parts=5, part=0)
+
+
 def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op7_benchmark_leaks": op7_benchmark_leaks, "op8_language_id": op8_language_id, "op10_media_archive": op10_media_archive}
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op6_toxicity": op6_toxicity, "op7_benchmark_leaks": op7_benchmark_leaks, "op8_language_id": op8_language_id, "op10_media_archive": op10_media_archive}
 
 OP1_SQL = """
 WITH d AS (
