@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, minhash, mixing, repeats, tokens, toxicity
+from . import decontam, html, langid, media, minhash, mixing, repeats, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,11 +45,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), parts=5, part=0)
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), RULES)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op6_toxicity": op6_toxicity, "op7_benchmark_leaks": op7_benchmark_leaks, "op8_language_id": op8_language_id, "op10_media_archive": op10_media_archive}
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_repeated_spans": op3_repeated_spans, "op4_token_output": op4_token_output, "op5_url_filter": op5_url_filter, "op6_toxicity": op6_toxicity, "op7_benchmark_leaks": op7_benchmark_leaks, "op8_language_id": op8_language_id, "op9_html_text": op9_html_text, "op10_media_archive": op10_media_archive}
 
 OP1_SQL = """
 WITH d AS (
@@ -73,4 +84,24 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(k.copie
 FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.source IS NOT DISTINCT FROM k.source AND q.size = k.size
 """
 
-ORACLES: dict[str, str] = {"op1_source_mix": OP1_SQL}
+_NORMAL = """regexp_replace(host, '^www[.]', '') || regexp_replace(regexp_replace(path, '[.]html?$', ''), '/+$', '') ||
+  CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END"""
+OP5_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z_]*|ref|fbclid|gclid)='))) AS kept
+  FROM pages),
+r AS (SELECT *, CASE WHEN host = '' THEN NULL ELSE {_NORMAL} END AS node,
+  CASE WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+       WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+       WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+       WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+       WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM r),
+k AS (SELECT node, min(own) AS spread FROM v WHERE node IS NOT NULL GROUP BY node)
+SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM v LEFT JOIN k USING (node)
+"""  # no page of these tables declares a link, so components are the normal forms
+
+
+ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op1_source_mix": OP1_SQL}
