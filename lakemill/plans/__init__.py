@@ -1,0 +1 @@
+"""Catalog, statements and the SQL front end."""
