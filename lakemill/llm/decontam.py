@@ -14,8 +14,8 @@ The benchmark is the stated query set. It is read in blocks of at most BLOCK_BYT
 the tasks; documents are only scanned, never shuffled.
 
 Cases: words are folded to lower case (ASCII) and stripped of punctuation at their ends, a word of punctuation
-stays as it is; null or empty texts and items match nothing; items shorter than n words are one
-n-gram; equal items each report; repeated document rows each report; several copies of an item in one document
+stays as it is; null or empty texts and items match nothing; an item of
+fewer than n words is no evidence inside a longer text and matches only a text of just its words; equal items each report; repeated document rows each report; several copies of an item in one document
 are one row, that of the best score; empty tables give no rows; extra columns are ignored.
 """
 
