@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import grid, statements
-from .sql.lexer import SqlError, tokenize
+from .procedures import BodyParser, Procedure, call
+from .sql.lexer import SqlError, Token, tokenize
 from .sql.translate import Translator, literal, quote, text
 from .storage import cut
 
@@ -73,6 +74,7 @@ class State:
     sequences: dict[str, tuple[int, int]] = field(default_factory=dict)
     indexes: dict[str, tuple[str, tuple[str, ...], bool]] = field(default_factory=dict)
     schemas: set[str] = field(default_factory=set)
+    triggers: dict[str, tuple[str, str, str, list[tuple[str, str]]]] = field(default_factory=dict)
 
     def copy(self) -> State:
         return State(*(copy.copy(getattr(self, f)) for f in self.__dataclass_fields__))
@@ -85,6 +87,8 @@ class Engine:
         self.spark, self.state = spark, State()
         self.variables: dict[str, object] = {}
         self.functions: dict = {}
+        self.procedures: dict[str, Procedure] = {}
+        self.log: list[str] = []
         self.prefix = f"lm{next(_ids)}_"
         self.stack: list[tuple[str | None, State]] = []
 
@@ -143,7 +147,9 @@ class Engine:
                 yield f"ERROR: {e}"
 
     def sql(self, sql: str) -> DataFrame:
-        p = self.parser(tokenize(sql))
+        return self.execute(self.parser(tokenize(sql)), sql)
+
+    def execute(self, p: Translator, sql: str) -> DataFrame:
         before = self.state.copy()
         try:
             return self._dispatch(p, sql)
@@ -161,7 +167,7 @@ class Engine:
             self._end(p)
             return self.spark.sql(out)
         method = getattr(self, "_" + head.lower(), None)
-        if method is None or head not in ("CREATE", "DROP", "ALTER", "INSERT", "REPLACE", "UPDATE", "DELETE", "MERGE", "TRUNCATE", "SHOW", "DESC", "DESCRIBE", "EXPLAIN", "BEGIN", "START", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE", "SET"):
+        if method is None or head not in ("CREATE", "DROP", "ALTER", "INSERT", "REPLACE", "UPDATE", "DELETE", "MERGE", "TRUNCATE", "SHOW", "DESC", "DESCRIBE", "EXPLAIN", "BEGIN", "START", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE", "SET", "CALL"):
             p.fail("unknown statement")
         p.i += 1
         return method(p, sql)
@@ -270,6 +276,10 @@ class Engine:
             return self.note("CREATE SEQUENCE")
         if p.take("FUNCTION"):
             return self._create_function(p)
+        if p.take("PROCEDURE"):
+            return self._create_procedure(p)
+        if p.take("TRIGGER"):
+            return self._create_trigger(p)
         p.fail("cannot create that")
 
     def _create_function(self, p):
@@ -303,6 +313,82 @@ class Engine:
         self.functions[name] = call
         return self.note("CREATE FUNCTION")
 
+    def _create_procedure(self, p):
+        name, params = p.name(), []
+        p.need("(")
+
+        def param() -> str:
+            mode = p.name().upper() if p.at("IN") or p.at("OUT") or p.at("INOUT") else "IN"
+            params.append((mode, p.name().lower(), p.type_name()))
+            return ""
+
+        if not p.at(")"):
+            p.listed(param)
+        p.need(")")
+        p.need("BEGIN")
+        body = BodyParser(p).block("END")
+        p.need("END")
+        self.procedures[name.lower()] = Procedure(name, params, body)
+        return self.note("CREATE PROCEDURE")
+
+    def _call(self, p, sql):
+        name = p.name().lower()
+        if name not in self.procedures:
+            raise SqlError(f"unknown procedure {name}")
+        p.need("(")
+        arguments: list[list[Token]] = []
+
+        def argument() -> str:
+            start = p.i
+            p.expression()
+            arguments.append([*p.t[start : p.i], Token("end", "", 0)])
+            return ""
+
+        if not p.at(")"):
+            p.listed(argument)
+        p.need(")")
+        values = dict(p.locals)
+        for k, tokens in enumerate(arguments):  # a caller's own variables are seen by value
+            if len(tokens) == 2 and tokens[0].value.lower() in values:
+                arguments[k] = [*tokenize(literal(values[tokens[0].value.lower()]))]
+        return call(self, self.procedures[name], arguments)
+
+    def _create_trigger(self, p):
+        """BEFORE and AFTER, by row or statement: assignments to NEW, or a note in the session log."""
+        name, when, event = p.name(), p.name().upper(), p.name().upper()
+        p.need("ON")
+        table = self.table(p.dotted())
+        if p.take("FOR", "EACH"):
+            p.name()
+        begun = p.take("BEGIN")
+        p.take("SET")
+
+        def assignment() -> tuple[str, str]:
+            target = p.dotted()
+            p.need("=")
+            return target.split(".")[-1], p.expression()
+
+        sets = p.listed(assignment)
+        p.take(";")
+        if begun:
+            p.need("END")
+        self.state.triggers[name.lower()] = (table.name.lower(), when, event, sets)
+        return self.note("CREATE TRIGGER")
+
+    def _fire(self, table: Table, event: str, rows: DataFrame) -> DataFrame:
+        """Rows (NEW, and for updates OLD, as structs) with the assignments of BEFORE triggers."""
+        for target, when, what, sets in self.state.triggers.values():
+            if (target, when, what) == (table.name.lower(), "BEFORE", event) and event != "DELETE":
+                for c, x in sets:
+                    column = table.column(c)
+                    rows = rows.withColumn("NEW", F.col("NEW").withField(column.name, F.expr(f"CAST({x} AS {column.type})")))
+        return rows
+
+    def _fired(self, table: Table, event: str, count: int) -> None:
+        for name, (target, when, what, _) in self.state.triggers.items():
+            if target == table.name.lower() and what == event and (when == "AFTER" or event == "DELETE"):
+                self.log.append(f"{name}: {when} {event} ON {table.name}, {count} rows")
+
     def _column(self, p) -> tuple[Column, dict]:
         name, at = p.name(), p.i
         serial = p.at("SERIAL")
@@ -398,6 +484,8 @@ class Engine:
             where = self.state.views if name in self.state.views else self.state.materialized
         if kind == "SCHEMA":
             self.state.schemas.discard(name)
+        elif kind in ("PROCEDURE", "TRIGGER"):
+            (self.procedures if kind == "PROCEDURE" else self.state.triggers).pop(name, None)
         elif kind == "FUNCTION":
             self.functions.pop(name.upper(), None)
         elif name in where:
@@ -581,7 +669,8 @@ class Engine:
             if c.auto:
                 x = F.when(x.isNull() | (x == 0), F.col("_n") + base[auto.index(c)]).otherwise(x)
             out.append(x.cast(c.type).alias(c.name))
-        return cut(df.select(F.expr("uuid()").alias(RID), *out))
+        made = df.select(F.expr("uuid()").alias(RID), F.struct(*out).alias("NEW"))
+        return cut(self._fire(table, "INSERT", made).select(RID, "NEW.*"))
 
     def _insert(self, p, sql):
         p.need("INTO")
@@ -599,7 +688,9 @@ class Engine:
         if p.take("ON", "DUPLICATE", "KEY", "UPDATE"):
             return self._upsert(p, table, rows)
         self._change(replace(table, df=table.df.unionByName(rows)))
-        return self._returning(p, table, rows, f"INSERT {rows.count()}")
+        count = rows.count()
+        self._fired(table, "INSERT", count)
+        return self._returning(p, table, rows, f"INSERT {count}")
 
     def _upsert(self, p, table: Table, rows: DataFrame) -> DataFrame:
         """Rows whose key exists update it; VALUES(c) is the given value."""
@@ -658,10 +749,15 @@ class Engine:
         both = table.df.join(hits, F.col(RID) == F.col("_hit"), "left")
         changed = dict(sets)
         out = [F.when(F.col("_hit").isNotNull(), F.col(f"`new_{c.name}`")).otherwise(F.col(quote(c.name))).alias(c.name) if c.name in changed else F.col(quote(c.name)) for c in table.columns]
-        new = cut(both.select(RID, *out, F.col("_hit").isNotNull().alias("_hit")))
+        old = F.struct(*[F.col(quote(c.name)) for c in table.columns]).alias("OLD")
+        made = both.select(RID, old, F.struct(*out).alias("NEW"), F.col("_hit").isNotNull().alias("_hit"))
+        fired = self._fire(table, "UPDATE", made.where("_hit")).unionByName(made.where("NOT _hit"))
+        new = cut(fired.select(RID, "NEW.*", "_hit"))
         self._change(replace(table, df=new.drop("_hit")))
         rows = new.where("_hit")
-        return self._returning(p, table, rows, f"UPDATE {rows.count()}")
+        count = rows.count()
+        self._fired(table, "UPDATE", count)
+        return self._returning(p, table, rows, f"UPDATE {count}")
 
     def _delete(self, p, sql):
         p.need("FROM")
@@ -670,7 +766,9 @@ class Engine:
         where = p.expression() if p.take("WHERE") else "true"
         hits = cut(self.spark.sql(f"SELECT {quote(alias)}.* FROM {self._scope(table, alias)} WHERE {where}"))
         self._change(replace(table, df=table.df.join(hits.select(RID), RID, "left_anti")))
-        return self._returning(p, table, hits, f"DELETE {hits.count()}")
+        count = hits.count()
+        self._fired(table, "DELETE", count)
+        return self._returning(p, table, hits, f"DELETE {count}")
 
     def _truncate(self, p, sql):
         p.take("TABLE")

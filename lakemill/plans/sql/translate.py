@@ -76,6 +76,7 @@ class Translator:
     def __init__(self, tokens: list[Token] | str, names: Callable[[str], str] = quote, variables: dict | None = None, sequence: Callable[[str], int] | None = None, functions: dict | None = None) -> None:
         self.t = tokenize(tokens) if isinstance(tokens, str) else tokens
         self.i, self.names, self.ctes = 0, names, [set()]
+        self.locals: dict = {}  # variables of a procedure, by name
         self.variables, self.sequence, self.functions = variables if variables is not None else {}, sequence, functions if functions is not None else {}
 
     # -------------------------------------------------------------- tokens
@@ -565,6 +566,8 @@ class Translator:
         while self.at(".") and self.peek(1).kind in ("word", "name"):
             self.i += 1
             out.append(self.name())
+        if len(out) == 1 and out[0].lower() in self.locals:
+            return literal(self.locals[out[0].lower()])
         return ".".join(quote(x) for x in out)
 
     def case(self) -> str:

@@ -124,6 +124,45 @@ def test_views_sequences_functions_and_meta(db):
     assert rows(db, "SELECT id, v FROM auto") == [(1, "a"), (2, "b")]
 
 
+def test_procedures(db):
+    db.sql("""CREATE PROCEDURE fill(IN n INT, OUT total INT) BEGIN
+        DECLARE i INT DEFAULT 0;
+        DECLARE done INT DEFAULT 0;
+        DECLARE v INT;
+        DECLARE c CURSOR FOR SELECT id FROM emp WHERE id > 10 ORDER BY id;
+        DECLARE CONTINUE HANDLER FOR NOT FOUND SET done = 1;
+        SET total = 0;
+        WHILE i < n DO
+            SET i = i + 1;
+            IF i = 2 THEN INSERT INTO emp (id, name) VALUES (20, 'two'); ELSE INSERT INTO emp (id, name) VALUES (i + 10, 'x'); END IF;
+        END WHILE;
+        OPEN c;
+        again: LOOP
+            FETCH c INTO v;
+            IF done = 1 THEN LEAVE again; END IF;
+            SET total = total + v;
+        END LOOP;
+        CLOSE c;
+    END""")
+    assert rows(db, "CALL fill(3, @t)") == [(11 + 13 + 20,)] and rows(db, "SELECT @t") == [(44,)]
+    db.sql("CREATE PROCEDURE safe(OUT s INT) BEGIN DECLARE EXIT HANDLER FOR SQLEXCEPTION SET s = -1; SET s = 0; INSERT INTO emp VALUES (1, 'dup', 'a', 1); SET s = 1; END")
+    assert rows(db, "CALL safe(@s)") == [(-1,)]
+    db.sql("CREATE PROCEDURE undo() BEGIN DECLARE UNDO HANDLER FOR SQLSTATE '45001' SET @u = 1; DELETE FROM emp; SIGNAL SQLSTATE '45001' SET MESSAGE_TEXT = 'no'; END")
+    db.sql("CALL undo()")
+    assert rows(db, "SELECT @u, COUNT(*) FROM emp") == [(1, 7)]
+
+
+def test_triggers(db):
+    db.sql("CREATE TRIGGER t1 BEFORE INSERT ON emp FOR EACH ROW SET NEW.name = UPPER(NEW.name), NEW.pay = COALESCE(NEW.pay, 1)")
+    db.sql("CREATE TRIGGER t2 BEFORE UPDATE ON emp FOR EACH ROW BEGIN SET NEW.pay = GREATEST(NEW.pay, OLD.pay); END")
+    db.sql("CREATE TRIGGER t3 AFTER DELETE ON emp FOR EACH STATEMENT SET NEW.pay = 0")
+    db.sql("INSERT INTO emp (id, name) VALUES (9, 'zed')")
+    db.sql("UPDATE emp SET pay = 15 WHERE id IN (1, 2)")
+    assert rows(db, "SELECT id, name, pay FROM emp WHERE id IN (1, 2, 9)") == [(1, "ann", 15), (2, "bob", 20), (9, "ZED", 1)]
+    db.sql("DELETE FROM emp WHERE id = 9")
+    assert db.log == ["t3: AFTER DELETE ON emp, 1 rows"]
+
+
 def test_scripts_and_grid(spark):
     script = "CREATE TABLE t (a INT); -- c;\nINSERT INTO t VALUES (1);\nSELECT a, ';' AS s FROM t; SELECT oops FROM t"
     assert len(list(statements(script))) == 4
