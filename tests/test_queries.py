@@ -2,7 +2,7 @@
 
 import pytest
 
-from lakemill.plans import queries
+from lakemill.plans import queries, statement_queries
 
 from .support import DATA, duck, same
 
@@ -23,6 +23,11 @@ def test_query(spark, con, name):
         df.collect()
 
 
+@pytest.mark.parametrize("name", sorted(statement_queries.QUERIES))
+def test_statements(spark, con, name):
+    same(statement_queries.QUERIES[name](spark, SF), con, statement_queries.ORACLES[name])
+
+
 def test_entry_survives_without_optional_parts(spark):
     import __spark_entry__ as entry
 
