@@ -12,7 +12,10 @@ Bands of the signature give buckets. Texts that share a bucket are candidates; t
 (a byte of each component) come nowhere near the threshold are put aside, with a margin of over five
 standard deviations, and the rest are verified on the texts' exact bags. Verification goes first to each text's best
 link to the leader of one of its buckets; then, for buckets that still hold several classes, to all pairs of
-different classes, so no link that the bands find is lost. Classes are connected components.
+different classes, so no link that the bands find is lost. Buckets of more than SMALL_BUCKET texts (texts that share a long
+passage) do not list their pairs: a prefix filter finds all those that can reach the threshold, as two
+such bags must share one of the rarest shingles, those before the last 80% of a bag in a global order from rare
+to common. Classes are connected components.
 
 Cases: texts that are null or have no word are classes of their own, even when equal; texts of 1 to 4
 words are one shingle; equal texts are one node however many rows hold them; the class id is the
@@ -33,6 +36,8 @@ from . import common, graph
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6  # at 0.8: a pair is missed with probability 0.00006
+SMALL_BUCKET = 24
+RANGES = 1 << 18
 MARGIN = 0.16  # of the sketch estimate; its standard deviation at 0.8 is 0.029
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -166,6 +171,50 @@ def _verify(size: int, threshold: float):
     return run
 
 
+def _range_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANGES, np.int64)
+        for batch in batches:
+            for _, _, data, offs in common.slices(batch, "text"):
+                total += np.bincount((bags(data, offs, size)[0] >> np.uint64(46)).astype(np.int64), minlength=RANGES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "n"])
+
+    return run
+
+
+def _prefixes(counts: np.ndarray, size: int, threshold: float):
+    """Of each bag the shingles that come first in order of (count of hash range, hash), up to the weight that may be lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in common.slices(batch, "text"):
+                grams, weights, owner = bags(data, offs, size)
+                total = np.bincount(owner, weights=weights, minlength=j - i).astype(np.int64)
+                order = np.lexsort((grams, counts[(grams >> np.uint64(46)).astype(np.int64)], owner))
+                grams, weights, owner = grams[order], weights[order], owner[order]
+                upto = np.cumsum(weights)
+                before = upto - weights - np.concatenate([[0], np.cumsum(total)])[owner]
+                keep = before <= total[owner] - np.ceil(threshold * total[owner] - 1e-9)
+                row = pa.array(owner[keep] + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(total[owner[keep]]), pa.array(grams[keep].view(np.int64))], names=["node", "class", "total", "gram"])
+
+    return run
+
+
+def _by_prefix(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, class, text) of different classes whose bags can be so similar."""
+    # a table of at most RANGES counts; it decides the order only, not what is found
+    got = nodes.mapInArrow(_range_counts(size), "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(RANGES, np.int64)
+    counts[got["range"].to_numpy()] = got["n"].to_numpy()
+    rows = common.materialize(nodes.select("node", "class", "text").mapInArrow(_prefixes(counts, size, threshold), "node string, class string, total long, gram long"), "prefixes")
+    x = rows.select("gram", F.col("node").alias("a"), F.col("class").alias("p"), F.col("total").alias("s"))
+    y = rows.select("gram", F.col("node").alias("b"), F.col("class").alias("q"), F.col("total").alias("t"))
+    close = F.least("s", "t") >= F.greatest("s", "t") * threshold - 1e-9
+    return x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & close).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): each row's node, and a class for every node that is linked to another."""
     spark = docs.sparkSession
@@ -200,12 +249,15 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, band
     best = first.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
     one = common.materialize(verified(best), "links")
     classes = graph.components(one)
-    # what is left: buckets that hold several classes, all pairs of different classes in them
+    # what is left: buckets that hold several classes, and in them all pairs of different classes
     at = member.join(classes.select("node", "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-    mixed = at.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = at.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
     left = common.materialize(at.join(mixed, "bucket"), "left")
-    x, y = left.select("bucket", F.col("node").alias("a"), F.col("class").alias("p")), left.select("bucket", F.col("node").alias("b"), F.col("class").alias("q"))
+    few = left.where(F.col("n") <= SMALL_BUCKET)
+    x, y = few.select("bucket", F.col("node").alias("a"), F.col("class").alias("p")), few.select("bucket", F.col("node").alias("b"), F.col("class").alias("q"))
     rest = x.join(y, "bucket").where("a < b and p <> q").select("a", "b").distinct()
+    many = left.where(F.col("n") > SMALL_BUCKET).select("node", "class").distinct().join(held, "node")
+    rest = rest.union(_by_prefix(common.materialize(many, "open"), size, threshold)).distinct()
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     two = verified(estimated(rest.join(done, ["a", "b"], "left_anti")).select("a", "b").sort("a", "b"))
     every = one.unionByName(two).select("a", "b")
