@@ -42,8 +42,8 @@ LENGTH = 50
 GRAM = 25
 SIDE = LENGTH - GRAM
 LAST = np.iinfo(np.int64).max  # the place of a null doc_id
-FLUSH_BYTES = 24 << 20
-INDEX_SYMBOLS = 1 << 21
+FLUSH_BYTES = 16 << 20
+INDEX_SYMBOLS = 1 << 20
 _U = np.uint64
 
 
@@ -93,6 +93,10 @@ def _unpack(blob: bytes, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
     return out
 
 
+def _hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << _U(32))
+
+
 def _split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & _U(0xFFFFFFFF)).astype(np.uint32), (x >> _U(32)).astype(np.uint16)
 
@@ -175,23 +179,27 @@ def _resolve(table: pa.Table) -> pa.Table:
             row, place = _unpack(blob, [("<u4", n), ("<u4", n)])
             out += [(*x, b"") for x in _by_row(row, keys, tags, place)]
     else:
+        kinds = lambda n: [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)]
+        every = list(zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True))
+        # most anchors occur once; only the others are unpacked in full
+        seen = np.sort(np.concatenate([_hashes(*_unpack(blob, kinds(n))[:2]) for n, _, _, blob in every]))
+        again = np.unique(seen[1:][seen[1:] == seen[:-1]])
+        del seen
         got, base = [], 0
-        for n, rows, t, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
-            keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
-            lo, hi, c0, c1, local, place = _unpack(blob, [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)])
-            h = lo.astype(np.uint64) | (hi.astype(np.uint64) << _U(32))
-            c = c0.astype(np.uint64) | (c1.astype(np.uint64) << _U(32))
-            got.append((keys, tags, h, c, local.astype(np.int64) + base, np.cumsum(place, dtype=np.int64).astype(np.uint32)))
+        for n, rows, t, blob in every:
+            lo, hi, c0, c1, local, place = _unpack(blob, kinds(n))
+            h = _hashes(lo, hi)
+            some = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) if len(again) else np.zeros(0, np.int64)
+            if not len(some):
+                continue
+            used, local = np.unique(local[some], return_inverse=True)
+            keys, tags = (x[used] for x in _unpack(t, [("<i8", rows), ("<i8", rows)]))
+            got.append((keys, tags, h[some], _hashes(c0[some], c1[some]), local + base, np.cumsum(place, dtype=np.int64)[some].astype(np.uint32)))
             base += len(keys)
+        del every
         if got:
             keys, tags, h, c, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(h, kind="stable")
-            hs = h[order]
-            edge = np.flatnonzero(np.diff(hs, prepend=hs[0] ^ _U(1)))
-            many = np.repeat(np.diff(np.append(edge, len(hs))) > 1, np.diff(np.append(edge, len(hs))))
-            order = order[many]  # most anchors occur once; what follows is for the others
-            k = keys[row[order]]
-            order = order[np.lexsort((k, c[order], h[order]))]
+            order = np.lexsort((keys[row], c, h))
             hs, cs, k = h[order], c[order], keys[row[order]]
             new_h = np.ones(len(hs), bool)
             new_h[1:] = hs[1:] != hs[:-1]
@@ -225,104 +233,142 @@ def _contexts(parts: int):
                 h = common.hash_spans(data, at, at + GRAM)
                 low, high = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, len(data))
                 raw = data.tobytes()
-                for p, a, b in zip(((h >> _U(32)) * _U(parts) >> _U(32)).tolist(), low.tolist(), high.tolist(), strict=True):
-                    sent.setdefault(p, []).append((key, tag, a, raw[a:b]))
+                for p, a, b, q in zip(((h >> _U(32)) * _U(parts) >> _U(32)).tolist(), low.tolist(), high.tolist(), at.tolist(), strict=True):
+                    sent.setdefault(p, []).append((key, tag, a, raw[a:b], q - a))
             rows = []
             for p, own in sent.items():
                 sizes = np.array([len(x[3]) for x in own], np.uint8)
-                rows.append((p, len(own), int(sizes.sum()), _pack(*(np.array([x[k] for x in own], "<i8") for k in (0, 1)), np.array([x[2] for x in own], "<u4"), sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(x[3] for x in own))))
+                rows.append((p, len(own), int(sizes.sum()), _pack(*(np.array([x[k] for x in own], "<i8") for k in (0, 1)), np.array([x[2] for x in own], "<u4"), sizes, np.array([x[4] for x in own], np.uint8)), zstandard.ZstdCompressor(level=1).compress(b"".join(x[3] for x in own))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
 
     return run
 
 
 class RunLengthIndex:
-    """Strings of bytes in a run-compressed Burrows-Wheeler transform, with samples at run ends.
+    """Strings of symbols in a run-compressed Burrows-Wheeler transform, with samples at run ends.
 
-    Rows are suffixes in order. Kept are, for each run of equal preceding symbols, where it starts and where LF sends it, the
-    suffix position at its last row, and for each class of rows agreeing in LENGTH symbols the least owner.
+    Rows are suffixes in order. Kept are, for each run of equal preceding symbols, where it starts, where LF sends it and
+    which run that is in, the suffix position at its last row, and for each class of rows that agree in ``depth``
+    symbols the least owner of a suffix that long.
     """
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
+    def __init__(self, body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, depth: int) -> None:
+        """body: the strings' symbols one after another, 0 and up."""
         count = len(sizes)
         ends = np.cumsum(sizes + 1) - 1
         n = int(ends[-1]) + 1
-        text = np.zeros(n, np.uint16)  # symbol 0 ends a string
-        body = np.ones(n, bool)
-        body[ends] = False
-        text[body] = data.astype(np.uint16) + 1
-        key = np.zeros(n, np.uint64)
-        for k in range(7):
-            key = key << _U(9)
-            key[: n - k] |= text[k:]
-        step, middle = 7, None
-        while True:
-            order = np.argsort(key)
-            rank = np.zeros(n, np.int64)
-            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-            if step == 28:
-                middle = rank
-            if step >= LENGTH and int(rank[order[-1]]) == n - 1:
-                break
-            key = rank.astype(np.uint64) << _U(32)
-            key[: max(0, n - step)] |= (rank[step:] + 1).astype(np.uint64)
-            step *= 2
-        # classes of rows that agree in LENGTH symbols
-        reach = np.minimum(np.arange(n) + LENGTH - 28, n - 1)
-        same = (middle[order[1:]] == middle[order[:-1]]) & (middle[reach[order[1:]]] == middle[reach[order[:-1]]])
+        text = np.zeros(n, np.int64)  # symbol 0 ends a string
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        text[inner] = body + 1
+        order, rank_at = self._suffixes(text, depth)
+        middle, step = rank_at
+        # classes of rows that agree in ``depth`` symbols
+        reach = np.minimum(order + (depth - step), n - 1)
+        same = (middle[order[1:]] == middle[order[:-1]]) & (middle[reach[1:]] == middle[reach[:-1]])
         self.class_start = np.append(0, np.flatnonzero(~same) + 1)
         of = np.repeat(np.arange(count), sizes + 1)
-        long_enough = np.arange(n) + LENGTH <= ends[of]
-        self.class_owner = np.minimum.reduceat(np.where(long_enough[order], owner[of[order]], LAST), self.class_start)
+        enough = np.arange(n) + depth <= ends[of]
+        self.class_owner = np.minimum.reduceat(np.where(enough, owner[of], LAST)[order], self.class_start)
         # runs of the transform; LF keeps equal symbols in order
         before = text[order - 1]
-        self.run_start = np.flatnonzero(np.diff(before.astype(np.int32), prepend=-1))
+        self.run_start = np.flatnonzero(np.diff(before, prepend=-1))
         run_size = np.diff(np.append(self.run_start, n))
         by_symbol = np.argsort(before[self.run_start], kind="stable")
-        to = np.zeros(len(run_size), np.int64)
-        to[by_symbol] = np.cumsum(run_size[by_symbol]) - run_size[by_symbol]
-        self.run_to = to
-        self.run_last = self.run_start + run_size - 1
-        self.sample = order[self.run_last]
+        self.run_to = np.zeros(len(run_size), np.int64)
+        self.run_to[by_symbol] = np.cumsum(run_size[by_symbol]) - run_size[by_symbol]
+        self.run_next = np.searchsorted(self.run_start, self.run_to, side="right") - 1
+        self.run_end = self.run_start + run_size
+        self.sample = order[self.run_end - 1]
         self.row_of_end = np.zeros(count, np.int64)
         self.row_of_end[of[order[:count]]] = np.arange(count)  # rows of the ends come first
-        self.sizes, self.ends = sizes, ends
+        self.sizes, self.ends, self.depth = sizes, ends, depth
+
+    @staticmethod
+    def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, int]]:
+        """The suffix array by prefix doubling, and the ranks by the longest prefix not over ``depth``."""
+        n = len(text)
+        bits = max(1, int(text.max()).bit_length())
+        step = min(depth, 63 // bits)
+        key = np.zeros(n, np.uint64)
+        for k in range(step):
+            key = key << _U(bits)
+            key[: n - k] |= text[k:].astype(np.uint64)
+        kept = None
+        while True:
+            order = np.argsort(key)
+            new = np.zeros(n, np.int64)
+            new[1:] = np.diff(key[order]) != 0
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
+            if step <= depth:
+                kept = rank, step
+            if int(rank[order[-1]]) == n - 1:
+                break
+            key = rank.astype(np.uint64) << _U(32)
+            key[: max(0, n - step)] |= (rank[step:] + 1).astype(np.uint64)
+            step *= 2
+        return order, kept
 
     def stream(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(string, offset) of each LENGTH-long stretch that occurs in a string of a smaller owner."""
+        """(string, offset) of each stretch of ``depth`` symbols that occurs in a string of a smaller owner."""
         row, live = self.row_of_end.copy(), np.arange(len(self.sizes))
+        run = np.searchsorted(self.run_start, row, side="right") - 1
         strings, offsets, k = [], [], 0
         while len(live):
             k += 1
-            live = live[self.sizes[live] >= k]
-            run = np.searchsorted(self.run_start, row[live], side="right") - 1
-            sampled = row[live] == self.run_last[run]
+            keep = self.sizes[live] >= k
+            live, row, run = live[keep], row[keep], run[keep]
+            sampled = row == self.run_end[run] - 1
             if not np.array_equal(self.sample[run[sampled]], self.ends[live[sampled]] - k + 1):
                 raise RuntimeError("the walk left its string")
-            row[live] = self.run_to[run] + row[live] - self.run_start[run]
-            if k >= LENGTH:
-                least = self.class_owner[np.searchsorted(self.class_start, row[live], side="right") - 1]
-                hit = live[least < owner[live]]
-                strings.append(hit)
-                offsets.append(self.sizes[hit] - k)
+            row, run = self.run_to[run] + row - self.run_start[run], self.run_next[run]
+            late = np.flatnonzero(row >= self.run_end[run])
+            while len(late):  # the next run that holds the row is a few steps on
+                run[late] += 1
+                late = late[row[late] >= self.run_end[run[late]]]
+            if k >= self.depth:
+                least = self.class_owner[np.searchsorted(self.class_start, row, side="right") - 1]
+                hit = least < owner[live]
+                strings.append(live[hit])
+                offsets.append(self.sizes[live[hit]] - k)
         return np.concatenate(strings or [live]), np.concatenate(offsets or [live])
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Contexts of one range to the ranges of bytes that an earlier document holds."""
+    """Contexts of one range to the places whose next LENGTH bytes an earlier document holds.
+
+    The anchor of a context is one symbol, so a stretch of LENGTH bytes around it is SIDE + 1 symbols.
+    """
     got = []
     for n, _, meta, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
-        key, tag, at, size = _unpack(meta, [("<i8", n), ("<i8", n), ("<u4", n), ("u1", n)])
-        got.append((key, tag, at.astype(np.int64), size.astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)))
+        key, tag, at, size, left = _unpack(meta, [("<i8", n), ("<i8", n), ("<u4", n), ("u1", n), ("u1", n)])
+        got.append((key, tag, at.astype(np.int64), size.astype(np.int64), left.astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)))
     out: list[tuple] = []
     if got:
-        key, tag, at, size, data = (np.concatenate(x) for x in zip(*got, strict=True))
-        index = RunLengthIndex(data, size, key)
+        key, tag, at, size, left, data = (np.concatenate(x) for x in zip(*got, strict=True))
+        anchor = np.cumsum(size) - size + left
+        words = np.zeros((len(size), 32), np.uint8)
+        words[:, :GRAM] = data[anchor[:, None] + np.arange(GRAM)]
+        names = words.view(np.uint64)
+        order = np.lexsort(names.T)
+        new = np.ones(len(order), bool)
+        new[1:] = (names[order[1:]] != names[order[:-1]]).any(axis=1)
+        symbol = np.zeros(len(order), np.int64)
+        symbol[order] = np.cumsum(new) - 1 + 256
+        body = data.astype(np.int64)
+        body[anchor] = symbol
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, anchor + 1, 1)
+        np.add.at(inside, anchor + GRAM, -1)
+        index = RunLengthIndex(body[np.cumsum(inside[:-1]) == 0], size - GRAM + 1, key, SIDE + 1)
         string, offset = index.stream(key)
-        _, row = np.unique(np.stack([key, tag]), axis=1, return_inverse=True)
-        row = row.reshape(-1)
-        one = np.zeros(int(row.max()) + 1, np.int64)
-        one[row] = np.arange(len(row))
+        order = np.lexsort((tag, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (tag[order[1:]] != tag[order[:-1]])
+        row = np.empty(len(order), np.int64)
+        row[order] = np.cumsum(new) - 1
+        one = order[new]
         out = [(*x, b"") for x in _by_row(row[string], key[one], tag[one], (at[string] + offset).astype(np.uint32))]
     return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_MARK)], schema=_MARK)
 
@@ -350,7 +396,7 @@ def marks(docs: DataFrame) -> DataFrame:
     _free(spark)
     # one range holds few enough contexts for one index; ranges follow the number of contexts
     opened = found.where(F.length("first") > 0).groupBy("key", "tag").agg(F.collect_list("first").alias("firsts"))
-    symbols = (found.agg(F.sum(F.length("first"))).first()[0] or 0) // 4 * (LENGTH + SIDE + 1)
+    symbols = (found.agg(F.sum(F.length("first"))).first()[0] or 0) // 4 * (2 * SIDE + 2)
     ranges = max(parts, -(-symbols // INDEX_SYMBOLS))
     contexts = texts.join(opened, ["key", "tag"])
     contexts = contexts.select("key", "tag", "text", "firsts").mapInArrow(_contexts(ranges), _BLOB_SQL)
