@@ -14,8 +14,8 @@ standard deviations, and the rest are verified on the texts' exact bags. Verific
 link to the leader of one of its buckets; then, for buckets that still hold several classes, to all pairs of
 different classes, so no link that the bands find is lost. Buckets of more than SMALL_BUCKET texts (texts that share a long
 passage) do not list their pairs: a prefix filter finds all those that can reach the threshold, as two
-such bags must share one of the rarest shingles, those before the last 80% of a bag in a global order from rare
-to common. Classes are connected components.
+such bags must share one of the first shingles in a global order from rare to common, early enough that both have
+the weight left that the threshold asks for. Classes are connected components.
 
 Cases: texts that are null or have no word are classes of their own, even when equal; texts of 1 to 4
 words are one shingle; equal texts are one node however many rows hold them; the class id is the
@@ -196,8 +196,9 @@ def _prefixes(counts: np.ndarray, size: int, threshold: float):
                 upto = np.cumsum(weights)
                 before = upto - weights - np.concatenate([[0], np.cumsum(total)])[owner]
                 keep = before <= total[owner] - np.ceil(threshold * total[owner] - 1e-9)
+                short = before <= total[owner] - np.ceil(2 * threshold / (1 + threshold) * total[owner] - 1e-9)
                 row = pa.array(owner[keep] + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(total[owner[keep]]), pa.array(grams[keep].view(np.int64))], names=["node", "class", "total", "gram"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(total[owner[keep]]), pa.array(before[keep]), pa.array(short[keep]), pa.array(grams[keep].view(np.int64))], names=["node", "class", "total", "before", "short", "gram"])
 
     return run
 
@@ -208,11 +209,14 @@ def _by_prefix(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     got = nodes.mapInArrow(_range_counts(size), "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(RANGES, np.int64)
     counts[got["range"].to_numpy()] = got["n"].to_numpy()
-    rows = common.materialize(nodes.select("node", "class", "text").mapInArrow(_prefixes(counts, size, threshold), "node string, class string, total long, gram long"), "prefixes")
-    x = rows.select("gram", F.col("node").alias("a"), F.col("class").alias("p"), F.col("total").alias("s"))
-    y = rows.select("gram", F.col("node").alias("b"), F.col("class").alias("q"), F.col("total").alias("t"))
-    close = F.least("s", "t") >= F.greatest("s", "t") * threshold - 1e-9
-    return x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & close).select("a", "b").distinct()
+    rows = common.materialize(nodes.select("node", "class", "text").mapInArrow(_prefixes(counts, size, threshold), "node string, class string, total long, before long, short boolean, gram long"), "prefixes")
+    x = rows.where("short").select("gram", F.col("node").alias("a"), F.col("class").alias("p"), F.col("total").alias("s"), (F.col("total") - F.col("before")).alias("u"))
+    y = rows.select("gram", F.col("node").alias("b"), F.col("class").alias("q"), F.col("total").alias("t"), (F.col("total") - F.col("before")).alias("v"))
+    # the smaller bag looks among its first shingles; from the first shared one on, enough weight must be left in both
+    smaller = (F.col("s") < F.col("t")) | ((F.col("s") == F.col("t")) & (F.col("a") < F.col("b")))
+    enough = F.least("u", "v") >= (F.col("s") + F.col("t")) * (threshold / (1 + threshold)) - 1e-6
+    found = x.join(y, "gram").where(smaller & enough & (F.col("p") != F.col("q")) & (F.col("s") >= F.col("t") * threshold - 1e-6))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -226,8 +230,12 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, band
     nodes = signed.where("sketch is not null").groupBy("node").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("s"))
     nodes = common.materialize(nodes.select("node", F.col("s.doc_id").alias("rep"), "s.bands", "s.sketch"), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    member = common.materialize(buckets.join(shared, "bucket").select("bucket", "node", "leader"), "members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    member = common.materialize(buckets.join(shared, "bucket"), "members")
+    # a bucket's leader is the text that shares the most buckets with the most texts: that from which the others were copied
+    central = member.groupBy("node").agg(F.sum("n").alias("reach"))
+    leader = member.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("reach", "node")).alias("leader"))
+    member = common.materialize(member.join(leader, "bucket").select("bucket", "node", "leader"), "members")
 
     sketches = nodes.select("node", "sketch")
     near = _near(m, threshold - MARGIN)
