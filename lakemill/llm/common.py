@@ -8,6 +8,7 @@ follows the slice (or the longest single text), not the partition.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -70,6 +71,14 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and the next task may be another worker's."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 # ---------------------------------------------------------------- Arrow slices
 
 
@@ -106,7 +115,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _pow["n"] < n:
-        size = max(n, SLICE_BYTES + 64)
+        size = max(n, min(2 * n, SLICE_BYTES), 1 << 16)
         with np.errstate(over="ignore"):
             for key, base in (("p", _P), ("q", _PINV)):
                 x = np.full(size, base, np.uint64)

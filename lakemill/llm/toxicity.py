@@ -182,21 +182,33 @@ def _vectors(words: np.ndarray, groups: list[np.ndarray]):
 def fit_weights(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE) -> np.ndarray:
     """Newton's method on the regularised logistic loss; swaps are rows of feature changes; the last weight is the offset."""
     n, m = x.shape
-    x = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
     hold = np.diag(np.append(np.full(m, ridge), 1e-6))
     if len(swaps):
         d = np.concatenate([swaps, np.zeros((len(swaps), 1))], axis=1)
         hold = hold + penalty * n / len(d) * (d.T @ d)
     w = np.zeros(m + 1)
 
+    def parts():
+        """Rows with a column of ones, a block at a time, so that the wide form is never held whole."""
+        for a in range(0, n, 1000):
+            block = x[a : a + 1000]
+            yield slice(a, a + len(block)), np.concatenate([block, np.ones((len(block), 1))], axis=1)
+
+    def logits(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ v for _, block in parts()]) if n else np.zeros(0)
+
     def loss(v: np.ndarray) -> float:
-        z = x @ v
+        z = logits(v)
         return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * v @ hold @ v)
 
     now = loss(w)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9).astype(x.dtype)[:, None]).T @ x + hold, x.T @ (p - y) + hold @ w)
+        p = 1 / (1 + np.exp(-np.clip(logits(w), -30, 30)))
+        curve, slope = hold.copy(), hold @ w
+        for rows, block in parts():
+            curve += (block * (p[rows] * (1 - p[rows]) + 1e-9)[:, None]).T @ block
+            slope += block.T @ (p[rows] - y[rows])
+        step = np.linalg.solve(curve, slope)
         size = 1.0
         while (after := loss(w - size * step)) > now and size > 1e-6:
             size /= 2
@@ -237,12 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     words = np.unique(np.concatenate([word[order].view(np.uint64), np.array([h for g in groups for h in g], np.uint64)]))
     members = [np.searchsorted(words, np.array(g, np.uint64)) for g in groups]
     got = rows.mapInArrow(_vectors(words, members), "toxic int, features array<int>, swaps array<int>").orderBy(F.xxhash64("toxic", "features"), "toxic").toArrow()
-    x = np.zeros((got.num_rows, len(words)), np.float32)
-    changes = []
-    for k, (own, pairs) in enumerate(zip(got["features"].to_pylist(), got["swaps"].to_pylist(), strict=True)):
-        x[k, own] = 1.0
-        changes += list(zip(pairs[::2], pairs[1::2], strict=True))
-    kinds, often = np.unique(np.array(changes, np.int64).reshape(-1, 2), axis=0, return_counts=True)
+    features, pairs = (got[c].combine_chunks() for c in ("features", "swaps"))
+    x = np.zeros((got.num_rows, len(words)), np.uint8)
+    x[np.repeat(np.arange(got.num_rows), np.diff(features.offsets.to_numpy())), features.flatten().to_numpy()] = 1
+    changes = pairs.flatten().to_numpy().reshape(-1, 2)
+    kinds, often = np.unique(changes, axis=0, return_counts=True)
     swaps = np.zeros((len(kinds), len(words)))
     swaps[np.arange(len(kinds)), kinds[:, 0]] -= 1
     swaps[np.arange(len(kinds)), kinds[:, 1]] += 1
