@@ -6,8 +6,8 @@ and each distinct word of a slice is scored once. One linear support vector mach
 picks the family; for each pair of languages of it another votes, ties by margin. With one family
 or one language there is nothing to choose.
 
-Training uses a bounded sample: the PER_LANGUAGE rows of each language first in order of a hash of doc_id (a
-window group limit prunes before the shuffle). Features are made on the executors; the
+Training uses a bounded sample: the PER_LANGUAGE rows of each of the LANGUAGES most frequent languages that come first in order of
+a hash of doc_id. A first count of rows by language says which hashes can be among them. Features are made on the executors; the
 driver fits PER_LANGUAGE x languages rows of DIMENSIONS numbers.
 
 Cases: a null text or one without a letter is ``und`` with score 0; rows of null lang are not learned from; a null
@@ -30,6 +30,7 @@ from . import common
 
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 700
+LANGUAGES = 500  # the most frequent ones are learned
 # Language codes by family; codes not listed form one family of their own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -177,8 +178,14 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Mod
     """Fit on the rows of docs (text, lang) for which learn holds, at most per_language of each."""
     common.prepare(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)), F.col("doc_id")))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("turn", turn).where(F.col("turn") <= per_language)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if counts:
+        # about twice the rows wanted pass, so what one task sorts does not grow with the input
+        share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * per_language + 50) / n))]), F.col("lang"))
+        rows = rows.where((F.col("h") / 2.0**64 + 0.5) <= share)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= per_language)
     got = rows.select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", F.xxhash64("x")).toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f4").reshape(len(lang), DIMENSIONS)
