@@ -42,7 +42,8 @@ LENGTH = 50
 GRAM = 25
 SIDE = LENGTH - GRAM
 LAST = np.iinfo(np.int64).max  # the place of a null doc_id
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 12 << 20
+SCAN_BYTES = 1 << 19
 INDEX_SYMBOLS = 1 << 20
 _U = np.uint64
 
@@ -145,6 +146,8 @@ def _scan(parts: int):
             if len(own):
                 used, local = np.unique(row[own], return_inverse=True)
                 rows.append((p, len(own), len(used), _pack(keys[used], tags[used]), _pack((h[own] & _U(0xFFFFFFFF)).astype(np.uint32), ((h[own] >> _U(32)) & _U(0xFFFF)).astype(np.uint16), *_split48(c[own] & _U(0xFFFFFFFFFFFF)), local.astype(np.uint32), np.diff(place[own], prepend=0).astype(np.int32))))
+        del whole, order, w, k, late, keep, parts_of, live, h, c
+        common.trim()
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
 
@@ -152,7 +155,7 @@ def _scan(parts: int):
         got, size = [], 0
         for batch in batches:
             keys, tags = (batch.column(k).to_numpy() for k in (0, 1))
-            for i, j, data, offs in common.slices(batch, "text"):
+            for i, j, data, offs in common.slices(batch, "text", SCAN_BYTES):
                 at, h = anchors(data, offs)
                 row = np.searchsorted(offs, at, side="right") - 1
                 c = common.hash_spans(data, np.maximum(at - SIDE, offs[row]), np.minimum(at + LENGTH, offs[row + 1]))
@@ -170,26 +173,71 @@ def _scan(parts: int):
     return run
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """One range of anchors: what is covered whole, and the holders of contexts that need the index."""
-    out: list[tuple] = []
-    if table.num_rows and table["part"][0].as_py() < 0:
+WHOLE, FIRST, COVER = 0, 1, 2  # an anchor whose context is covered; one that needs the index; a place whose next LENGTH bytes are covered
+
+
+def _by_document(parts: int, keys: np.ndarray, tags: np.ndarray, row: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.Table:
+    """Marks packed by parts of documents, so their number of rows follows the parts and not the marks."""
+    out = []
+    part = (common.mix(tags.view(np.uint64)) >> _U(32)) * _U(parts) >> _U(32)
+    order = np.argsort(part[row], kind="stable")
+    row, place, kind = row[order], place[order], kind[order]
+    edges = np.searchsorted(part[row].astype(np.int64), np.arange(parts + 1)) if len(row) else np.zeros(parts + 1, np.int64)
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[p], edges[p + 1])
+        used, local = np.unique(row[own], return_inverse=True)
+        out.append((p, len(local), len(used), _pack(keys[used], tags[used]), _pack(local.astype(np.uint32), place[own].astype(np.uint32), kind[own].astype(np.uint8))))
+    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
+
+
+def _gather(first: bool):
+    """One row for each document of a part: its open anchors, or its covered places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got, base = [], 0
         for n, rows, t, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
             keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
-            row, place = _unpack(blob, [("<u4", n), ("<u4", n)])
-            out += [(*x, b"") for x in _by_row(row, keys, tags, place)]
-    else:
-        kinds = lambda n: [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)]
+            local, place, kind = _unpack(blob, [("<u4", n), ("<u4", n), ("u1", n)])
+            keep = (kind == FIRST) == first
+            got.append((keys, tags, local[keep].astype(np.int64) + base, place[keep], kind[keep]))
+            base += len(keys)
+        out: dict[tuple[int, int], list[bytes]] = {}
+        if got:
+            keys, tags, row, place, kind = (np.concatenate(x) for x in zip(*got, strict=True))
+            for at, wanted in ((0, (WHOLE,)), (1, (FIRST, COVER))):
+                some = np.isin(kind, wanted)
+                for key, tag, value in _by_row(row[some], keys, tags, place[some]):
+                    pair = out.setdefault((key, tag), [b"", b""])
+                    pair[at] += value
+        return pa.table([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1))], schema=_MARK)
+
+    return run
+
+
+def _resolve(parts: int):
+    """One range of anchors: what is covered whole, and the holders of contexts that need the index."""
+
+    def run(table: pa.Table) -> pa.Table:
         every = list(zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True))
+        none = np.zeros(0, np.int64)
+        if table.num_rows and table["part"][0].as_py() < 0:
+            got, base = [], 0
+            for n, rows, t, blob in every:
+                row, place = _unpack(blob, [("<u4", n), ("<u4", n)])
+                got.append((*_unpack(t, [("<i8", rows), ("<i8", rows)]), row.astype(np.int64) + base, place))
+                base += rows
+            keys, tags, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
+            return _by_document(parts, keys, tags, row, place, np.full(len(row), WHOLE))
+        kinds = lambda n: [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)]
         # most anchors occur once; only the others are unpacked in full
-        seen = np.sort(np.concatenate([_hashes(*_unpack(blob, kinds(n))[:2]) for n, _, _, blob in every]))
+        seen = np.sort(np.concatenate([_hashes(*_unpack(blob, kinds(n))[:2]) for n, _, _, blob in every])) if every else np.zeros(0, np.uint64)
         again = np.unique(seen[1:][seen[1:] == seen[:-1]])
         del seen
         got, base = [], 0
         for n, rows, t, blob in every:
             lo, hi, c0, c1, local, place = _unpack(blob, kinds(n))
             h = _hashes(lo, hi)
-            some = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) if len(again) else np.zeros(0, np.int64)
+            some = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) if len(again) else none
             if not len(some):
                 continue
             used, local = np.unique(local[some], return_inverse=True)
@@ -197,28 +245,28 @@ def _resolve(table: pa.Table) -> pa.Table:
             got.append((keys, tags, h[some], _hashes(c0[some], c1[some]), local + base, np.cumsum(place, dtype=np.int64)[some].astype(np.uint32)))
             base += len(keys)
         del every
-        if got:
-            keys, tags, h, c, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((keys[row], c, h))
-            hs, cs, k = h[order], c[order], keys[row[order]]
-            new_h = np.ones(len(hs), bool)
-            new_h[1:] = hs[1:] != hs[:-1]
-            new_c = new_h.copy()
-            new_c[1:] |= cs[1:] != cs[:-1]
-            if len(hs):
-                at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
-                in_h, in_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-                least, most = np.minimum.reduceat(k, at_h), np.maximum.reduceat(k, at_h)
-                late = k > k[at_c][in_c]
-                several = np.add.reduceat(new_c.astype(np.int64), at_h) > 1
-                first = ~late & (several & (least < most))[in_h]
-                covered, left = {}, {}
-                for key, tag, value in _by_row(row[order[late]], keys, tags, place[order[late]]):
-                    covered[key, tag] = covered.get((key, tag), b"") + value
-                for key, tag, value in _by_row(row[order[first]], keys, tags, place[order[first]]):
-                    left[key, tag] = left.get((key, tag), b"") + value
-                out = [(*x, covered.get(x, b""), left.get(x, b"")) for x in covered.keys() | left.keys()]
-    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_MARK)], schema=_MARK)
+        if not got:
+            return _by_document(parts, none, none, none, none, none)
+        keys, tags, h, c, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((keys[row], c, h))
+        hs, cs, k = h[order], c[order], keys[row[order]]
+        new_h = np.ones(len(hs), bool)
+        new_h[1:] = hs[1:] != hs[:-1]
+        new_c = new_h.copy()
+        new_c[1:] |= cs[1:] != cs[:-1]
+        at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
+        in_h, in_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+        least, most = np.minimum.reduceat(k, at_h), np.maximum.reduceat(k, at_h)
+        late = k > k[at_c][in_c]
+        several = np.add.reduceat(new_c.astype(np.int64), at_h) > 1
+        first = ~late & (several & (least < most))[in_h]
+        pick = np.concatenate([order[late], order[first]])
+        out = _by_document(parts, keys, tags, row[pick], place[pick], np.repeat([WHOLE, FIRST], [late.sum(), first.sum()]))
+        del h, c, hs, cs, k, order, in_h, in_c
+        common.trim()
+        return out
+
+    return run
 
 
 def _contexts(parts: int):
@@ -229,7 +277,7 @@ def _contexts(parts: int):
             sent: dict[int, list] = {}
             for key, tag, text, firsts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                at = np.sort(np.frombuffer(b"".join(firsts), "<u4").astype(np.int64))
+                at = np.sort(np.frombuffer(firsts, "<u4").astype(np.int64))
                 h = common.hash_spans(data, at, at + GRAM)
                 low, high = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, len(data))
                 raw = data.tobytes()
@@ -257,10 +305,11 @@ class RunLengthIndex:
         count = len(sizes)
         ends = np.cumsum(sizes + 1) - 1
         n = int(ends[-1]) + 1
-        text = np.zeros(n, np.int64)  # symbol 0 ends a string
+        text = np.empty(n, np.int64)
         inner = np.ones(n, bool)
         inner[ends] = False
-        text[inner] = body + 1
+        text[inner] = body + count
+        text[ends] = np.arange(count)  # each string ends in a symbol of its own, so suffixes differ soon
         order, rank_at = self._suffixes(text, depth)
         middle, step = rank_at
         # classes of rows that agree in ``depth`` symbols
@@ -335,7 +384,7 @@ class RunLengthIndex:
         return np.concatenate(strings or [live]), np.concatenate(offsets or [live])
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(parts: int, table: pa.Table) -> pa.Table:
     """Contexts of one range to the places whose next LENGTH bytes an earlier document holds.
 
     The anchor of a context is one symbol, so a stretch of LENGTH bytes around it is SIDE + 1 symbols.
@@ -344,7 +393,7 @@ def _match(table: pa.Table) -> pa.Table:
     for n, _, meta, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
         key, tag, at, size, left = _unpack(meta, [("<i8", n), ("<i8", n), ("<u4", n), ("u1", n), ("u1", n)])
         got.append((key, tag, at.astype(np.int64), size.astype(np.int64), left.astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)))
-    out: list[tuple] = []
+    none = np.zeros(0, np.int64)
     if got:
         key, tag, at, size, left, data = (np.concatenate(x) for x in zip(*got, strict=True))
         anchor = np.cumsum(size) - size + left
@@ -369,8 +418,8 @@ def _match(table: pa.Table) -> pa.Table:
         row = np.empty(len(order), np.int64)
         row[order] = np.cumsum(new) - 1
         one = order[new]
-        out = [(*x, b"") for x in _by_row(row[string], key[one], tag[one], (at[string] + offset).astype(np.uint32))]
-    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_MARK)], schema=_MARK)
+        return _by_document(parts, key[one], tag[one], row[string], at[string] + offset, np.full(len(string), COVER))
+    return _by_document(parts, none, none, none, none, none)
 
 
 def _free(spark: SparkSession) -> None:
@@ -392,19 +441,17 @@ def marks(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs.select("doc_id", "text")).select(F.col("_key").alias("key"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
     blobs = texts.mapInArrow(_scan(parts), _BLOB_SQL)
     spread = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(parts))).otherwise(F.col("part"))
-    found = common.materialize(blobs.groupBy(spread.alias("range")).applyInArrow(_resolve, _MARK_SQL), "marks")
+    found = common.materialize(blobs.groupBy(spread.alias("range")).applyInArrow(_resolve(parts), _BLOB_SQL), "marks")
     _free(spark)
-    # one range holds few enough contexts for one index; ranges follow the number of contexts
-    opened = found.where(F.length("first") > 0).groupBy("key", "tag").agg(F.collect_list("first").alias("firsts"))
-    symbols = (found.agg(F.sum(F.length("first"))).first()[0] or 0) // 4 * (2 * SIDE + 2)
+    opened = common.materialize(found.groupBy("part").applyInArrow(_gather(True), _MARK_SQL).where(F.length("first") > 0).select("key", "tag", "first"), "opened")
+    # ranges follow the number of contexts, so that one index holds about INDEX_SYMBOLS
+    symbols = (opened.agg(F.sum(F.length("first"))).first()[0] or 0) // 4 * (2 * SIDE + 2)
     ranges = max(parts, -(-symbols // INDEX_SYMBOLS))
-    contexts = texts.join(opened, ["key", "tag"])
-    contexts = contexts.select("key", "tag", "text", "firsts").mapInArrow(_contexts(ranges), _BLOB_SQL)
-    matched = common.materialize(contexts.groupBy("part").applyInArrow(_match, _MARK_SQL), "marks")
+    contexts = texts.join(opened, ["key", "tag"]).select("key", "tag", "text", "first").mapInArrow(_contexts(ranges), _BLOB_SQL)
+    matched = common.materialize(contexts.groupBy("part").applyInArrow(lambda table: _match(parts, table), _BLOB_SQL), "marks")
     _free(spark)
-    covered = found.where(F.length("cover") > 0).select("key", "tag", F.col("cover").alias("whole"), F.lit(None).cast("binary").alias("cover"))
-    covered = covered.unionByName(matched.select("key", "tag", F.lit(None).cast("binary").alias("whole"), "cover"))
-    return covered.groupBy("key", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("cover").alias("cover"))
+    covered = found.unionByName(matched).groupBy("part").applyInArrow(_gather(False), _MARK_SQL)
+    return covered.select("key", "tag", F.col("cover").alias("whole"), F.col("first").alias("cover")).where((F.length("whole") > 0) | (F.length("cover") > 0))
 
 
 def spans(size: int, whole: np.ndarray, cover: np.ndarray) -> np.ndarray:
@@ -421,9 +468,9 @@ def spans(size: int, whole: np.ndarray, cover: np.ndarray) -> np.ndarray:
     return np.stack([low[edge], high[np.append(edge[1:], len(low)) - 1]], axis=1)
 
 
-def _cut(text: str, whole: list[bytes] | None, cover: list[bytes] | None) -> tuple[bytes, np.ndarray]:
+def _cut(text: str, whole: bytes | None, cover: bytes | None) -> tuple[bytes, np.ndarray]:
     raw = text.encode()
-    places = [np.frombuffer(b"".join(x or []), "<u4").astype(np.int64) for x in (whole, cover)]
+    places = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in (whole, cover)]
     gone = spans(len(raw), *places)
     kept, at = [], 0
     for a, b in gone.tolist():
@@ -460,7 +507,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text, whole, cover):
-        return text.combine(whole, lambda *x: x).combine(cover, lambda a, c: _cut(a[0], list(a[1]) if a[1] is not None else None, list(c) if c is not None else None)[0].decode("utf-8", "ignore"))
+        return text.combine(whole, lambda *x: x).combine(cover, lambda a, c: _cut(*a, c)[0].decode("utf-8", "ignore"))
 
     rows = _marked(docs)
     return rows.withColumn("text", F.when(F.col("text").isNotNull(), cut("_text", "_whole", "_cover"))).select(*[F.col(f"`{c}`") for c in docs.columns])
