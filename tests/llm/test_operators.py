@@ -301,6 +301,33 @@ def test_leaks(spark, empty):
     assert decontam.leaks(empty, bench).collect() == [] and decontam.leaks(frame, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_edited_copies_match_alignment_of_every_pair(spark):
+    rng = random.Random(8)
+    items = [words(rng, rng.choice([5, 9, 15, 30, 60]), 3000) for _ in range(20)]
+    docs = []
+    for item in items:
+        for every in (4, 5, 6, 7):
+            edited = [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(item.split())]
+            docs.append(words(rng, 40, 3000) + " " + " ".join(edited) + " " + words(rng, 40, 3000))
+        for share in (0.1, 0.25, 0.4):
+            edited = [rng.choice(["", "new", w + " more"]) if rng.random() < share else w for w in item.split()]
+            docs.append(words(rng, 40, 3000) + " " + " ".join(edited))
+        docs.append(item + " " + words(rng, 40, 3000))  # an intact copy must not hide the edited ones
+    bench, frame = list(enumerate(items)), list(enumerate(docs))
+    table = decontam.Items(bench)
+    want = {}
+    for d, text in frame:
+        raw = text.encode()
+        folded, _ = decontam.folded_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for k, _ in bench:
+            item = table.of(k)
+            score, matches, _, _ = decontam.align(item, folded)
+            if score >= 0.4 * len(item) and matches >= min(8, len(item)):
+                want[d, k] = score / len(item)
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(spark.createDataFrame(frame, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_alignment_matches_plain_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(50):
