@@ -380,6 +380,19 @@ def test_repeated_open_blocks_go(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_runs_of_a_hot_host_are_those_of_a_small_one(spark, monkeypatch):
+    rng = random.Random(6)
+    notice = "we use cookies on this site to help all of you"
+    pages = [(k, f"https://{'a.org' if k % 5 else 'b.org'}/{k}", f"<p>{words(rng, 1, 3000)}{k} {notice}</p><p>{words(rng, rng.choice([2, 9, 30]), 3000)}</p><p>{words(rng, 6, 3)}</p>") for k in range(60)]
+    pages += [(60 + k, None, f"<p>name{k} {notice}</p><p>own text {k}</p>") for k in range(4)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").cache()
+    small = {(r.page_id, r.text) for r in html.extract(frame).collect()}
+    monkeypatch.setattr(html, "HOST_TOKENS", 1)
+    hot = {(r.page_id, r.text) for r in html.extract(frame).collect()}
+    assert len(small) == 64 and not any(notice in t for _, t in small)
+    assert hot == small
+
+
 def test_suffix_array_coverage_by_force():
     rng = random.Random(6)
     texts = [words(rng, rng.randrange(1, 30), 6) for _ in range(40)]
