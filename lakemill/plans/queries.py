@@ -160,6 +160,11 @@ def join_full(t):
     return t.supplier.where("s_suppkey <= 80").join(t.customer.where("c_custkey between 40 and 120"), c("s_suppkey") == c("c_custkey"), "full").select(c("s_suppkey").alias("s"), c("c_custkey").alias("c"))
 
 
+@query("SELECT s.s_suppkey AS s, c.c_custkey AS c FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON s.s_suppkey = c.c_custkey")
+def join_full_whole(t):
+    return t.supplier.where("s_acctbal > 0").join(t.customer.where("c_acctbal > 0"), c("s_suppkey") == c("c_custkey"), "full").select(c("s_suppkey").alias("s"), c("c_custkey").alias("c"))
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t):
     return t.region.crossJoin(t.nation).select("r_name", "n_name")
@@ -219,6 +224,11 @@ def anti_not_in_null_aware(t):
     return S.not_in(t.nation, c("n_nationkey"), t.supplier.where("s_suppkey < 20").select(F.nullif(c("s_nationkey"), lit(3)))).select("n_nationkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(s_suppkey, -1) FROM supplier WHERE s_acctbal > 0)")
+def anti_not_in_whole(t):
+    return S.not_in(t.customer, c("c_custkey"), t.supplier.where("s_acctbal > 0").select(F.nullif(c("s_suppkey"), lit(-1)))).select("c_custkey")
+
+
 # ------------------------------------------------------------------ subqueries
 
 
@@ -239,6 +249,12 @@ def in_subq_projected_3vl(t):
     return out.select("n_nationkey", D.as_flag(c("hit")).alias("hit"))
 
 
+@query("SELECT c_custkey, CAST(c_nationkey IN (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_acctbal > 5000) AS INTEGER) AS hit FROM customer")
+def in_subq_projected_whole(t):
+    out = S.is_in(t.customer, c("c_nationkey"), t.supplier.where("s_acctbal > 5000").select(F.nullif(c("s_nationkey"), lit(3))), "hit")
+    return out.select("c_custkey", D.as_flag(c("hit")).alias("hit"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT s_acctbal FROM supplier WHERE s_nationkey = 7)")
 def any_subq(t):
     return S.quantified(t.customer, c("c_acctbal"), ">", "ANY", t.supplier.where("s_nationkey = 7").select("s_acctbal")).where("result").select("c_custkey")
@@ -433,6 +449,11 @@ def sort_nulls_last(t):
     return t.orders.select("o_orderkey", F.nullif(c("o_orderstatus"), lit("F")).alias("s")).orderBy(c("s").desc_nulls_last(), "o_orderkey").limit(600)
 
 
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey")
+def sort_nulls_last_whole(t):
+    return t.orders.select("o_orderkey", F.nullif(c("o_orderstatus"), lit("F")).alias("s")).orderBy(c("s").desc_nulls_last(), "o_orderkey")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, 1 LIMIT 25")
 def sort_ordinal_hidden(t):
     return t.orders.orderBy(c("o_totalprice").desc_nulls_last(), *R.ordinal(t.orders.select("o_orderkey"), [1])).select("o_orderkey").limit(25)
@@ -468,6 +489,11 @@ def except_(t):
     return R.difference(t.nation.select(c("n_nationkey").alias("k")), t.supplier.where("s_suppkey < 20").select("s_nationkey"))
 
 
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
+def except_whole(t):
+    return R.difference(t.customer.select(c("c_custkey").alias("k")), t.supplier.where("s_acctbal > 0").select("s_suppkey"))
+
+
 @query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey > 20 INTERSECT SELECT s_nationkey FROM supplier")
 def set_op_precedence(t):
     right = R.intersect(t.nation.where("n_nationkey > 20").select("n_nationkey"), t.supplier.select("s_nationkey"))

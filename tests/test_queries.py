@@ -28,6 +28,21 @@ def test_statements(spark, con, name):
     same(statement_queries.QUERIES[name](spark, SF), con, statement_queries.ORACLES[name])
 
 
+def test_operators_over_whole_tables(spark, con):
+    def keys(sql):
+        return {r[0] for r in con.execute(sql).fetchall()}
+
+    joined = queries.QUERIES["join_full_whole"](spark, SF).collect()
+    assert {r.s for r in joined} - {None} == keys("SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
+    assert {r.c for r in joined} - {None} == keys("SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+    assert any(r.s is None for r in joined) and any(r.c is None for r in joined)
+    assert queries.QUERIES["in_subq_projected_whole"](spark, SF).count() == len(keys("SELECT c_custkey FROM customer"))
+    assert 0 < queries.QUERIES["anti_not_in_whole"](spark, SF).count() < len(keys("SELECT c_custkey FROM customer"))
+    assert 0 < queries.QUERIES["except_whole"](spark, SF).count() < len(keys("SELECT c_custkey FROM customer"))
+    got = [(r.o_orderkey, r.s) for r in queries.QUERIES["sort_nulls_last_whole"](spark, SF).collect()]
+    assert got == con.execute(queries.ORACLES["sort_nulls_last_whole"]).fetchall() and len(got) > 600
+
+
 def test_entry_survives_without_optional_parts(spark):
     import __spark_entry__ as entry
 
