@@ -380,6 +380,20 @@ def test_repeated_open_blocks_go(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("tokens", [html.HOST_TOKENS, 1])
+def test_runs_count_every_page_of_a_block(spark, monkeypatch, tokens):
+    monkeypatch.setattr(html, "HOST_TOKENS", tokens)
+    notice = "we use cookies on this site to help all of you"
+    pages = [(1, "https://a.org/1", f"<p>alpha {notice}</p><p>one</p>"), (2, "https://a.org/2", f"<p>alpha {notice}</p><p>two</p>"), (3, "https://a.org/3", f"<p>beta {notice}</p><p>three</p>")]
+    # two blocks of the same least page that stand on different pages besides
+    other = "read more of this in our weekly letter to readers"
+    pages += [(4, "https://b.org/4", f"<p>alpha {other}</p><p>beta {other}</p><p>four</p>"), (5, "https://b.org/5", f"<p>alpha {other}</p><p>five</p>"), (6, "https://b.org/6", f"<p>beta {other}</p><p>six</p>")]
+    # two pages are too few
+    pages += [(k, f"https://c.org/{k}", f"<p>name{k} {notice}</p>") for k in (7, 8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five", 6: "six", 7: f"name7 {notice}", 8: f"name8 {notice}"}
+
+
 def test_runs_of_a_hot_host_are_those_of_a_small_one(spark, monkeypatch):
     rng = random.Random(6)
     notice = "we use cookies on this site to help all of you"
