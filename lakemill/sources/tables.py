@@ -98,8 +98,9 @@ def show_value(v) -> str:
 
 
 def grid(df: DataFrame, limit: int = 1000) -> str:
-    """An aligned text table of at most ``limit`` rows and the number shown."""
-    rows = [[show_value(v) for v in r] for r in df.limit(limit).collect()]
+    """An aligned text table of at most ``limit`` rows and the number shown; it says so if there are more."""
+    rows = [[show_value(v) for v in r] for r in df.limit(limit + 1).collect()]
+    first, rows = "first " * (len(rows) > limit), rows[:limit]
     widths = [max([len(c), *(len(r[k]) for r in rows)]) for k, c in enumerate(df.columns)]
     line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)).rstrip()
-    return "\n".join([line(df.columns), "-+-".join("-" * w for w in widths), *map(line, rows), f"({len(rows)} row{'s' * (len(rows) != 1)})"])
+    return "\n".join([line(df.columns), "-+-".join("-" * w for w in widths), *map(line, rows), f"({first}{len(rows)} row{'s' * (len(rows) != 1)})"])

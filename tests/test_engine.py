@@ -163,6 +163,11 @@ def test_triggers(db):
     assert db.log == ["t3: AFTER DELETE ON emp, 1 rows"]
 
 
+def test_grid_says_that_rows_are_left_out(spark):
+    assert grid(spark.range(1001)).splitlines()[-1] == "(first 1000 rows)"
+    assert grid(spark.range(1000)).splitlines()[-1] == "(1000 rows)"
+
+
 def test_scripts_and_grid(spark):
     script = "CREATE TABLE t (a INT); -- c;\nINSERT INTO t VALUES (1);\nSELECT a, ';' AS s FROM t; SELECT oops FROM t"
     assert len(list(statements(script))) == 4
