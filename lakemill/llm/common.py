@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 _made: list[tuple] = []
 
@@ -64,10 +65,21 @@ atexit.register(release)
 
 
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Cut lineage with a table in the shared folder; a lost executor costs nothing written."""
+    """Cut lineage with a table in the shared folder; a lost executor costs nothing written.
+
+    Shuffle files of the write go when it ends, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_dir(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

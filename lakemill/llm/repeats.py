@@ -26,14 +26,13 @@ empty table gives no rows; extra columns are kept by ``remove`` and ignored by `
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,9 +41,12 @@ LENGTH = 50
 GRAM = 25
 SIDE = LENGTH - GRAM
 LAST = np.iinfo(np.int64).max  # the place of a null doc_id
-FLUSH_BYTES = 12 << 20
 SCAN_BYTES = 1 << 19
-INDEX_SYMBOLS = 1 << 20
+PART_BYTES = 16 << 20  # of text whose anchors one range holds, about
+FANOUT = 1 << 12  # ranges that one step deals anchors to; with more, a second step deals them again
+FLUSH = 1 << 19  # anchors, or marks, that a worker holds unpacked
+PIECE = 1 << 18
+INDEX_SYMBOLS = 1 << 19
 _U = np.uint64
 
 
@@ -102,192 +104,305 @@ def _split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & _U(0xFFFFFFFF)).astype(np.uint32), (x >> _U(32)).astype(np.uint16)
 
 
+def _range_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The range that a 48-bit hash falls in, by its lower bits: an anchor is the least hash of its window, so the upper ones are mostly 0."""
+    return ((h & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
 _BLOB = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("rows", pa.int64()), ("table", pa.binary()), ("blob", pa.binary())])
 _BLOB_SQL = "part int, n long, rows long, table binary, blob binary"
 _MARK = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("cover", pa.binary()), ("first", pa.binary())])
 _MARK_SQL = "key long, tag long, cover binary, first binary"
+WHOLE, FIRST, COVER = 0, 1, 2  # an anchor whose context is covered; one that needs the index; a place whose next LENGTH bytes are covered
+
+
+def _blobs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(part, n, rows, table, blob) of a batch of blobs."""
+    return zip(*(batch.column(batch.schema.get_field_index(f.name)).to_pylist() for f in _BLOB), strict=True)
+
 
+def _kinds(n: int) -> list[tuple[str, int]]:
+    return [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)]
 
-def _by_row(row: np.ndarray, keys: np.ndarray, tags: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(row, kind="stable")
-    row, value = row[order], value[order]
-    edge = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row)) if len(row) else np.zeros(1, np.int64)
+
+def _deal(parts: int, got: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Anchors (keys and tags of rows, row, place, hash, hash of context) packed by ranges of the hash.
+
+    Of equal contexts only the earliest document's go to their range; part -1 carries the others, which are covered whole.
+    """
+    base = np.cumsum([0, *(len(g[0]) for g in got[:-1])])
+    keys, tags = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    row = np.concatenate([g[2] + b for g, b in zip(got, base, strict=True)])
+    place, h, c = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+    got.clear()
+    with np.errstate(over="ignore"):
+        whole = common.mix(h + common.mix(c))
+    order = np.lexsort((keys[row], whole))
+    w, k = whole[order], keys[row][order]
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    keep = np.ones(len(w), bool)
+    if len(w):
+        keep[order[k > k[np.flatnonzero(new)][np.cumsum(new) - 1]]] = False
+    del whole, order, w, k, new
+    rows = []
+    some = np.flatnonzero(~keep)
+    if len(some):
+        used, local = np.unique(row[some], return_inverse=True)
+        rows.append((-1, len(some), len(used), _pack(keys[used], tags[used]), _pack(local.astype(np.uint32), place[some].astype(np.uint32))))
+    part = _range_of(h, parts)
+    live = np.flatnonzero(keep)
+    live = live[np.argsort(part[live], kind="stable")]
+    edge = np.flatnonzero(np.diff(part[live], prepend=-1, append=parts))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(keys[row[a]]), int(tags[row[a]]), value[a:b].tobytes()
+        own = live[a:b]
+        used, local = np.unique(row[own], return_inverse=True)
+        rows.append((int(part[own[0]]), b - a, len(used), _pack(keys[used], tags[used]), _pack(*_split48(h[own]), *_split48(c[own]), local.astype(np.uint32), np.diff(place[own], prepend=0).astype(np.int32))))
+    del keys, tags, row, place, h, c, part, live, keep
+    common.trim()
+    yield from _blobs(rows)
 
 
-def _scan(parts: int):
-    """Blobs of anchors by part; part -1 carries, in ``table``, anchors that are already known to be covered."""
-
-    def flush(got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, tags = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        base = np.cumsum([0, *(len(g[0]) for g in got[:-1])])
-        row = np.concatenate([g[2] + b for g, b in zip(got, base, strict=True)])
-        place, h, c = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
-        with np.errstate(over="ignore"):
-            whole = common.mix(h + common.mix(c))
-        order = np.lexsort((keys[row], whole))
-        w, k = whole[order], keys[row][order]
-        new = np.ones(len(w), bool)
-        new[1:] = w[1:] != w[:-1]
-        late = k > k[np.flatnonzero(new)][np.cumsum(new) - 1] if len(w) else np.zeros(0, bool)
-        keep = np.ones(len(w), bool)
-        keep[order[late]] = False
-        parts_of = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-        rows = []
-        some = np.flatnonzero(~keep)
-        if len(some):
-            rows.append((-1, len(some), len(keys), _pack(keys, tags), _pack(row[some].astype(np.uint32), place[some].astype(np.uint32))))
-        live = np.flatnonzero(keep)
-        live = live[np.argsort(parts_of[live], kind="stable")]
-        edges = np.searchsorted(parts_of[live], np.arange(parts + 1))
-        for p in range(parts):
-            own = live[edges[p] : edges[p + 1]]
-            if len(own):
-                used, local = np.unique(row[own], return_inverse=True)
-                rows.append((p, len(own), len(used), _pack(keys[used], tags[used]), _pack((h[own] & _U(0xFFFFFFFF)).astype(np.uint32), ((h[own] >> _U(32)) & _U(0xFFFF)).astype(np.uint16), *_split48(c[own] & _U(0xFFFFFFFFFFFF)), local.astype(np.uint32), np.diff(place[own], prepend=0).astype(np.int32))))
-        del whole, order, w, k, late, keep, parts_of, live, h, c
-        common.trim()
-        for i in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
+def _context(data: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """48 bits for each context; where a text's edge cuts one, the place of the anchor in it matters too."""
+    with np.errstate(over="ignore"):
+        return common.mix(common.hash_spans(data, low, high) + np.minimum(left, SIDE).astype(np.uint64)) >> _U(16)
+
+
+def _anchored(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, place, hash, hash of context) of a slice's anchors. A long text comes in windows that overlap by a stretch."""
+    n = len(data)
+    if len(offs) > 2 or n <= 2 * SCAN_BYTES:
+        at, h = anchors(data, offs)
+        row = np.searchsorted(offs, at, side="right") - 1
+        yield row, at - offs[row], h >> _U(16), _context(data, np.maximum(at - SIDE, offs[row]), np.minimum(at + LENGTH, offs[row + 1]), at - offs[row])
+        return
+    last = np.zeros(0, np.int64)
+    for a in range(0, n, SCAN_BYTES):
+        b = min(n, a + SCAN_BYTES + LENGTH - 1)
+        at, h = anchors(data[a:b], np.array([0, b - a]))
+        at = at + a
+        new = ~np.isin(at, last)
+        last, at, h = at, at[new], h[new]
+        low = max(0, a - SIDE)
+        yield np.zeros(len(at), np.int64), at, h >> _U(16), _context(data[low : b + SIDE], np.maximum(at - SIDE, 0) - low, np.minimum(at + LENGTH, n) - low, at)
+        if b == n:
+            return
 
+
+def _scan(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
         for batch in batches:
             keys, tags = (batch.column(k).to_numpy() for k in (0, 1))
             for i, j, data, offs in common.slices(batch, "text", SCAN_BYTES):
-                at, h = anchors(data, offs)
-                row = np.searchsorted(offs, at, side="right") - 1
-                c = common.hash_spans(data, np.maximum(at - SIDE, offs[row]), np.minimum(at + LENGTH, offs[row + 1]))
-                # where a text's edge cuts a context, the place of the anchor in it matters too
-                with np.errstate(over="ignore"):
-                    c = common.mix(c + np.minimum(at - offs[row], SIDE).astype(np.uint64))
-                got.append((keys[i:j], tags[i:j], row, at - offs[row], h, c))
-                size += len(data)
-                if size >= FLUSH_BYTES:
-                    yield from flush(got)
-                    got, size = [], 0
+                for row, place, h, c in _anchored(data, offs):
+                    got.append((keys[i:j], tags[i:j], row, place, h, c))
+                    size += len(h)
+                    if size >= FLUSH:
+                        yield from _deal(parts, got)
+                        size = 0
         if got:
-            yield from flush(got)
+            yield from _deal(parts, got)
 
     return run
 
 
-WHOLE, FIRST, COVER = 0, 1, 2  # an anchor whose context is covered; one that needs the index; a place whose next LENGTH bytes are covered
+def _deal_again(parts: int):
+    """Blobs of a few wide ranges to blobs of the narrow ones in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
+        for batch in batches:
+            done = []
+            for part, n, rows, t, blob in _each(batch):
+                if part < 0:
+                    done.append((part, n, rows, t, blob))
+                    continue
+                lo, hi, c0, c1, local, place = _unpack(blob, _kinds(n))
+                got.append((*_unpack(t, [("<i8", rows), ("<i8", rows)]), local.astype(np.int64), np.cumsum(place, dtype=np.int64), _hashes(lo, hi), _hashes(c0, c1)))
+                size += n
+            yield from _blobs(done)
+            if size >= FLUSH:
+                yield from _deal(parts, got)
+                size = 0
+        if got:
+            yield from _deal(parts, got)
 
+    return run
 
-def _by_document(parts: int, keys: np.ndarray, tags: np.ndarray, row: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.Table:
-    """Marks packed by parts of documents, so their number of rows follows the parts and not the marks."""
-    out = []
-    part = (common.mix(tags.view(np.uint64)) >> _U(32)) * _U(parts) >> _U(32)
-    order = np.argsort(part[row], kind="stable")
-    row, place, kind = row[order], place[order], kind[order]
-    edges = np.searchsorted(part[row].astype(np.int64), np.arange(parts + 1)) if len(row) else np.zeros(parts + 1, np.int64)
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        own = slice(edges[p], edges[p + 1])
-        used, local = np.unique(row[own], return_inverse=True)
-        out.append((p, len(local), len(used), _pack(keys[used], tags[used]), _pack(local.astype(np.uint32), place[own].astype(np.uint32), kind[own].astype(np.uint8))))
-    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
+
+class _Marks:
+    """Marks of one task, packed by parts of documents, so their number of rows follows the parts and not the marks."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts, self.got, self.size = parts, [], 0
+
+    def add(self, key: np.ndarray, tag: np.ndarray, place: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        if len(place):
+            self.got.append((key, tag, place.astype(np.uint32), np.full(len(place), kind, np.uint8)))
+            self.size += len(place)
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        key, tag, place, kind = (np.concatenate(x) for x in zip(*self.got, strict=True))
+        self.got, self.size = [], 0
+        part = ((common.mix(tag.view(np.uint64)) >> _U(32)) * _U(self.parts) >> _U(32)).astype(np.int64)
+        order = np.lexsort((key, tag, part))
+        key, tag, place, kind, part = (x[order] for x in (key, tag, place, kind, part))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+        edge = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
+        out = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            one = a + np.flatnonzero(new[a:b])
+            out.append((int(part[a]), b - a, len(one), _pack(key[one], tag[one]), _pack((np.cumsum(new[a:b]) - 1).astype(np.uint32), place[a:b], kind[a:b])))
+        yield from _blobs(out)
 
 
 def _gather(first: bool):
     """One row for each document of a part: its open anchors, or its covered places."""
 
-    def run(table: pa.Table) -> pa.Table:
-        got, base = [], 0
-        for n, rows, t, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
-            keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
-            local, place, kind = _unpack(blob, [("<u4", n), ("<u4", n), ("u1", n)])
-            keep = (kind == FIRST) == first
-            got.append((keys, tags, local[keep].astype(np.int64) + base, place[keep], kind[keep]))
-            base += len(keys)
-        out: dict[tuple[int, int], list[bytes]] = {}
-        if got:
-            keys, tags, row, place, kind = (np.concatenate(x) for x in zip(*got, strict=True))
-            for at, wanted in ((0, (WHOLE,)), (1, (FIRST, COVER))):
-                some = np.isin(kind, wanted)
-                for key, tag, value in _by_row(row[some], keys, tags, place[some]):
-                    pair = out.setdefault((key, tag), [b"", b""])
-                    pair[at] += value
-        return pa.table([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1))], schema=_MARK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            for _, n, rows, t, blob in _each(batch):
+                local, place, kind = _unpack(blob, [("<u4", n), ("<u4", n), ("u1", n)])
+                some = np.flatnonzero((kind == FIRST) == first)
+                if len(some):
+                    keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
+                    got.append((keys[local[some]], tags[local[some]], place[some], kind[some] != WHOLE))
+        if not got:
+            return
+        key, tag, place, other = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.lexsort((place, other, tag, key))
+        key, tag, place, other = key[order], tag[order], place[order], other[order]
+        new = np.ones(len(key) + 1, bool)
+        new[1:-1] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+        edge = np.flatnonzero(new)
+        middle = edge[1:] - np.add.reduceat(other.astype(np.int64), edge[:-1])
+        for i in range(0, len(middle), 256):
+            a, m, b = edge[i : i + 256][: len(middle) - i], middle[i : i + 256], edge[i + 1 : i + 257]
+            covers, firsts = ([place[x:y].tobytes() for x, y in zip(p.tolist(), q.tolist(), strict=True)] for p, q in ((a, m), (m, b)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(tag[a]), pa.array(covers, pa.binary()), pa.array(firsts, pa.binary())], schema=_MARK)
 
     return run
 
 
 def _resolve(parts: int):
-    """One range of anchors: what is covered whole, and the holders of contexts that need the index."""
-
-    def run(table: pa.Table) -> pa.Table:
-        every = list(zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True))
-        none = np.zeros(0, np.int64)
-        if table.num_rows and table["part"][0].as_py() < 0:
-            got, base = [], 0
-            for n, rows, t, blob in every:
-                row, place = _unpack(blob, [("<u4", n), ("<u4", n)])
-                got.append((*_unpack(t, [("<i8", rows), ("<i8", rows)]), row.astype(np.int64) + base, place))
-                base += rows
-            keys, tags, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            return _by_document(parts, keys, tags, row, place, np.full(len(row), WHOLE))
-        kinds = lambda n: [("<u4", n), ("<u2", n), ("<u4", n), ("<u2", n), ("<u4", n), ("<i4", n)]
-        # most anchors occur once; only the others are unpacked in full
-        seen = np.sort(np.concatenate([_hashes(*_unpack(blob, kinds(n))[:2]) for n, _, _, blob in every])) if every else np.zeros(0, np.uint64)
-        again = np.unique(seen[1:][seen[1:] == seen[:-1]])
-        del seen
-        got, base = [], 0
-        for n, rows, t, blob in every:
-            lo, hi, c0, c1, local, place = _unpack(blob, kinds(n))
-            h = _hashes(lo, hi)
-            some = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) if len(again) else none
-            if not len(some):
+    """One range of anchors: what is covered whole, and the holders of contexts that need the index.
+
+    The range's blobs stay packed; anchors are unpacked and judged by pieces of about PIECE of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, held, total = _Marks(parts), [], 0
+        for batch in batches:
+            for part, n, rows, t, blob in _each(batch):
+                if part < 0:  # covered in their own slice
+                    keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
+                    local, place = _unpack(blob, [("<u4", n), ("<u4", n)])
+                    yield from marks.add(keys[local], tags[local], place, WHOLE)
+                else:
+                    held.append((n, rows, t, blob))
+                    total += n
+        pieces = max(1, -(-total // PIECE))
+        for piece in range(pieces):
+            got = []
+            for n, rows, t, blob in held:
+                lo, hi, c0, c1, local, place = _unpack(blob, _kinds(n))
+                some = np.flatnonzero((lo & 0xFFFF) * pieces >> 16 == piece)
+                if len(some):
+                    keys, tags = _unpack(t, [("<i8", rows), ("<i8", rows)])
+                    own = local[some]
+                    got.append((keys[own], tags[own], _hashes(lo[some], hi[some]), _hashes(c0[some], c1[some]), np.cumsum(place, dtype=np.int64)[some].astype(np.uint32)))
+            if not got:
                 continue
-            used, local = np.unique(local[some], return_inverse=True)
-            keys, tags = (x[used] for x in _unpack(t, [("<i8", rows), ("<i8", rows)]))
-            got.append((keys, tags, h[some], _hashes(c0[some], c1[some]), local + base, np.cumsum(place, dtype=np.int64)[some].astype(np.uint32)))
-            base += len(keys)
-        del every
-        if not got:
-            return _by_document(parts, none, none, none, none, none)
-        keys, tags, h, c, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((keys[row], c, h))
-        hs, cs, k = h[order], c[order], keys[row[order]]
-        new_h = np.ones(len(hs), bool)
-        new_h[1:] = hs[1:] != hs[:-1]
-        new_c = new_h.copy()
-        new_c[1:] |= cs[1:] != cs[:-1]
-        at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
-        in_h, in_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        least, most = np.minimum.reduceat(k, at_h), np.maximum.reduceat(k, at_h)
-        late = k > k[at_c][in_c]
-        several = np.add.reduceat(new_c.astype(np.int64), at_h) > 1
-        first = ~late & (several & (least < most))[in_h]
-        pick = np.concatenate([order[late], order[first]])
-        out = _by_document(parts, keys, tags, row[pick], place[pick], np.repeat([WHOLE, FIRST], [late.sum(), first.sum()]))
-        del h, c, hs, cs, k, order, in_h, in_c
-        common.trim()
-        return out
+            key, tag, h, c, place = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            order = np.lexsort((key, c, h))
+            hs = h[order]
+            # most anchors occur once
+            twin = np.zeros(len(hs), bool)
+            twin[1:] = hs[1:] == hs[:-1]
+            again = twin.copy()
+            again[:-1] |= twin[1:]
+            order = order[again]
+            if not len(order):
+                continue
+            hs, cs, k = hs[again], c[order], key[order]
+            new_h = ~twin[again]
+            new_c = new_h.copy()
+            new_c[1:] |= cs[1:] != cs[:-1]
+            at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
+            in_h = np.cumsum(new_h) - 1
+            least, most = np.minimum.reduceat(k, at_h), np.maximum.reduceat(k, at_h)
+            late = k > k[at_c][np.cumsum(new_c) - 1]
+            several = np.add.reduceat(new_c.astype(np.int64), at_h) > 1
+            first = ~late & (several & (least < most))[in_h]
+            for pick, kind in ((order[late], WHOLE), (order[first], FIRST)):
+                yield from marks.add(key[pick], tag[pick], place[pick], kind)
+            del key, tag, h, c, place, order, hs, cs, k, twin, again, new_h, new_c, at_h, at_c, in_h, late, first
+            common.trim()
+        yield from marks.flush()
 
     return run
 
 
+def _gram_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48 bits of the GRAM bytes at each place."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(at), np.uint64)
+        for k in range(GRAM):
+            h = h * _U(common._P) + common._BYTE[data[at + k]]
+        return common.mix(h) >> _U(16)
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of stretches (start, size), one after another."""
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _contexts(parts: int):
     """Texts and places of their open anchors to contexts, packed by the anchor's range."""
 
+    def packed(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part, key, tag, at, size, left, body = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        order = np.argsort(part, kind="stable")
+        start = np.cumsum(size) - size
+        part, key, tag, at, size, left, start = (x[order] for x in (part, key, tag, at, size, left, start))
+        edge = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        rows = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            meta = _pack(key[a:b], tag[a:b], at[a:b].astype(np.uint32), size[a:b].astype(np.uint8), left[a:b].astype(np.uint8))
+            rows.append((int(part[a]), b - a, int(size[a:b].sum()), meta, _pack(body[_spread(start[a:b], size[a:b])])))
+        yield from _blobs(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, total = [], 0
         for batch in batches:
-            sent: dict[int, list] = {}
             for key, tag, text, firsts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                at = np.sort(np.frombuffer(firsts, "<u4").astype(np.int64))
-                h = common.hash_spans(data, at, at + GRAM)
-                low, high = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, len(data))
-                raw = data.tobytes()
-                for p, a, b, q in zip(((h >> _U(32)) * _U(parts) >> _U(32)).tolist(), low.tolist(), high.tolist(), at.tolist(), strict=True):
-                    sent.setdefault(p, []).append((key, tag, a, raw[a:b], q - a))
-            rows = []
-            for p, own in sent.items():
-                sizes = np.array([len(x[3]) for x in own], np.uint8)
-                rows.append((p, len(own), int(sizes.sum()), _pack(*(np.array([x[k] for x in own], "<i8") for k in (0, 1)), np.array([x[2] for x in own], "<u4"), sizes, np.array([x[4] for x in own], np.uint8)), zstandard.ZstdCompressor(level=1).compress(b"".join(x[3] for x in own))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BLOB)], schema=_BLOB)
+                at = np.frombuffer(firsts, "<u4").astype(np.int64)
+                low = np.maximum(at - SIDE, 0)
+                size = np.minimum(at + LENGTH, len(data)) - low
+                got.append((_range_of(_gram_hash(data, at), parts), np.full(len(at), key), np.full(len(at), tag), low, size, at - low, data[_spread(low, size)]))
+                total += len(at)
+            if total >= FLUSH // 4:
+                yield from packed(got)
+                total = 0
+        if got:
+            yield from packed(got)
 
     return run
 
@@ -384,18 +499,22 @@ class RunLengthIndex:
         return np.concatenate(strings or [live]), np.concatenate(offsets or [live])
 
 
-def _match(parts: int, table: pa.Table) -> pa.Table:
+def _match(parts: int):
     """Contexts of one range to the places whose next LENGTH bytes an earlier document holds.
 
     The anchor of a context is one symbol, so a stretch of LENGTH bytes around it is SIDE + 1 symbols.
     """
-    got = []
-    for n, _, meta, blob in zip(*(table[c].to_pylist() for c in ("n", "rows", "table", "blob")), strict=True):
-        key, tag, at, size, left = _unpack(meta, [("<i8", n), ("<i8", n), ("<u4", n), ("u1", n), ("u1", n)])
-        got.append((key, tag, at.astype(np.int64), size.astype(np.int64), left.astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)))
-    none = np.zeros(0, np.int64)
-    if got:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            for _, n, total, meta, blob in _each(batch):
+                key, tag, at, size, left = _unpack(meta, [("<i8", n), ("<i8", n), ("<u4", n), ("u1", n), ("u1", n)])
+                got.append((key, tag, at, size.astype(np.int64), left.astype(np.int64), *_unpack(blob, [("u1", total)])))
+        if not got:
+            return
         key, tag, at, size, left, data = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
         anchor = np.cumsum(size) - size + left
         words = np.zeros((len(size), 32), np.uint8)
         words[:, :GRAM] = data[anchor[:, None] + np.arange(GRAM)]
@@ -405,27 +524,25 @@ def _match(parts: int, table: pa.Table) -> pa.Table:
         new[1:] = (names[order[1:]] != names[order[:-1]]).any(axis=1)
         symbol = np.zeros(len(order), np.int64)
         symbol[order] = np.cumsum(new) - 1 + 256
-        body = data.astype(np.int64)
-        body[anchor] = symbol
-        inside = np.zeros(len(data) + 1, np.int64)
+        del words, names, order, new
+        inside = np.zeros(len(data) + 1, np.int8)
         np.add.at(inside, anchor + 1, 1)
         np.add.at(inside, anchor + GRAM, -1)
-        index = RunLengthIndex(body[np.cumsum(inside[:-1]) == 0], size - GRAM + 1, key, SIDE + 1)
+        outer = np.cumsum(inside[:-1], dtype=np.int8) == 0
+        body = data.astype(np.int64)
+        body[anchor] = symbol
+        body = body[outer]
+        del inside, outer, data, symbol
+        index = RunLengthIndex(body, size - GRAM + 1, key, SIDE + 1)
+        del body
         string, offset = index.stream(key)
-        order = np.lexsort((tag, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (tag[order[1:]] != tag[order[:-1]])
-        row = np.empty(len(order), np.int64)
-        row[order] = np.cumsum(new) - 1
-        one = order[new]
-        return _by_document(parts, key[one], tag[one], row[string], at[string] + offset, np.full(len(string), COVER))
-    return _by_document(parts, none, none, none, none, none)
-
+        del index
+        marks = _Marks(parts)
+        yield from marks.add(key[string], tag[string], at[string].astype(np.int64) + offset, COVER)
+        yield from marks.flush()
+        common.trim()
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose result is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -437,19 +554,24 @@ def marks(docs: DataFrame) -> DataFrame:
     """(key, tag, whole, cover): for rows with repeats, places whose full context, or whose next LENGTH bytes, are covered."""
     spark = docs.sparkSession
     common.prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _keyed(docs.select("doc_id", "text")).select(F.col("_key").alias("key"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
-    blobs = texts.mapInArrow(_scan(parts), _BLOB_SQL)
-    spread = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(parts))).otherwise(F.col("part"))
-    found = common.materialize(blobs.groupBy(spread.alias("range")).applyInArrow(_resolve(parts), _BLOB_SQL), "marks")
-    _free(spark)
+    # ranges follow the bytes to scan, so that one range's blobs fit a worker
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts = wide
+    if wide > FANOUT:
+        wide, parts = FANOUT, FANOUT * -(-wide // FANOUT)
+    blobs = texts.mapInArrow(_scan(wide), _BLOB_SQL)
+    spread = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(wide))).otherwise(F.col("part")).alias("range")
+    if parts > wide:
+        blobs = blobs.repartition(spread).sortWithinPartitions("part").mapInArrow(_deal_again(parts), _BLOB_SQL)
+    found = common.materialize(blobs.groupBy(spread).applyInArrow(_resolve(parts), _BLOB_SQL), "marks")
     opened = common.materialize(found.groupBy("part").applyInArrow(_gather(True), _MARK_SQL).where(F.length("first") > 0).select("key", "tag", "first"), "opened")
     # ranges follow the number of contexts, so that one index holds about INDEX_SYMBOLS
     symbols = (opened.agg(F.sum(F.length("first"))).first()[0] or 0) // 4 * (2 * SIDE + 2)
-    ranges = max(parts, -(-symbols // INDEX_SYMBOLS))
+    ranges = max(1, -(-symbols // INDEX_SYMBOLS))
     contexts = texts.join(opened, ["key", "tag"]).select("key", "tag", "text", "first").mapInArrow(_contexts(ranges), _BLOB_SQL)
-    matched = common.materialize(contexts.groupBy("part").applyInArrow(lambda table: _match(parts, table), _BLOB_SQL), "marks")
-    _free(spark)
+    matched = common.materialize(contexts.groupBy("part").applyInArrow(_match(parts), _BLOB_SQL), "marks")
     covered = found.unionByName(matched).groupBy("part").applyInArrow(_gather(False), _MARK_SQL)
     return covered.select("key", "tag", F.col("cover").alias("whole"), F.col("first").alias("cover")).where((F.length("whole") > 0) | (F.length("cover") > 0))
 

@@ -175,6 +175,25 @@ def test_repeats_by_force(spark, docs, rows, empty):
     assert sorted(got) == sorted(cut_by_force(tiny))
 
 
+def test_repeats_by_pieces_and_in_two_steps(spark, docs, rows, monkeypatch):
+    want = sorted(cut_by_force(rows), key=repr)
+    for name, value in (("PIECE", 50), ("FLUSH", 400), ("FANOUT", 2), ("PART_BYTES", 20_000), ("INDEX_SYMBOLS", 300)):
+        monkeypatch.setattr(repeats, name, value)
+    assert sorted((tuple(r) for r in repeats.digest(docs).collect()), key=repr) == want
+
+
+def test_anchors_of_a_long_text_by_windows(monkeypatch):
+    text = np.frombuffer(words(random.Random(3), 4000, 300).encode(), np.uint8)
+    offs = np.array([0, len(text)])
+    (whole,) = repeats._anchored(text, offs)
+    monkeypatch.setattr(repeats, "SCAN_BYTES", 700)
+    parts = list(repeats._anchored(text, offs))
+    assert len(parts) > 10
+    got = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.argsort(got[1])
+    assert all(np.array_equal(a[order], b) for a, b in zip(got, whole, strict=True))
+
+
 @pytest.mark.parametrize("depth,letters", [(3, 2), (5, 4), (26, 300)])
 def test_run_length_index(depth, letters):
     rng = np.random.default_rng(depth)
