@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,22 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder of spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Without either, a folder of our own serves where driver and executors are one process; on a cluster, whose
+    machines would not see it, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and there.isDefined():
+        base = there.get()
     if not base:
-        base = _local.setdefault("dir", "")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local.get("dir")
         if not base:
             base = _local["dir"] = "file://" + tempfile.mkdtemp(prefix="lakemill-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if there.isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/") + "/lakemill"
 
@@ -51,6 +61,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written() -> int:
+    """The number of intermediate tables there are."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the session's intermediate tables after the first ``since``, but for the ``keep`` last ones."""
+    own = [x for x in _made[since:] if x[0] is spark]
+    for item in own[: len(own) - keep]:
+        _made.remove(item)
+        delete(*item)
+
+
 def release() -> None:
     """Remove every intermediate table written so far; results that read them are then gone too."""
     while _made:
@@ -64,6 +87,18 @@ def release() -> None:
 atexit.register(release)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Cut lineage with a table in the shared folder; a lost executor costs nothing written.
 

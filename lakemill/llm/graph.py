@@ -13,8 +13,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each node hands its larger neighbours, then its
     smaller ones, to the least of them. The number of rounds is logarithmic in practice; when the edge set stops
-    changing every component is a star. Minima are taken with map-side combining and handed back by joins, so a hub
-    of any degree is never one task's group; AQE splits a hub's skewed partition.
+    changing every component is a star. Minima are taken with map-side combining, written, and handed back by joins of
+    their own, whose skewed partitions AQE can split: so a hub of any degree is never one task's group.
 
     Nulls and self-loops are dropped, repeats collapse; no edges give no rows.
     """
@@ -24,10 +24,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     mark = None
     for _ in range(limit):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = common.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.materialize(large.where("a <> b").distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        low = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), "least")
         small = large.join(low, F.col("a") == F.col("k"))
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = common.materialize(small.where("a <> b").distinct(), "edges")

@@ -11,10 +11,9 @@ interval, number) only, so any two workers agree.
 Bands of the signature give buckets. Texts that share a bucket are candidates; those whose sketches
 (a byte of each component) come nowhere near the threshold are put aside, with a margin of over five
 standard deviations, and the rest are verified on the texts' exact bags. Verification goes first to each text's best
-link to the leader of one of its buckets; then, for buckets that still hold several classes, to all pairs of
-different classes, so no link that the bands find is lost. Buckets of more than SMALL_BUCKET texts (texts that share a long
-passage) do not list their pairs: a prefix filter finds all those that can reach the threshold, as two
-such bags must share one of the first shingles in a global order from rare to common, early enough that both have
+link to the leader of one of its buckets. Texts whose buckets still hold several classes are then
+compared by a prefix filter, which lists no bucket's pairs and loses no link between different classes of them: two bags that reach
+the threshold must share one of the first shingles in a global order from rare to common, early enough that both have
 the weight left that the threshold asks for. Classes are connected components.
 
 Cases: texts that are null or have no word are classes of their own, even when equal; texts of 1 to 4
@@ -36,7 +35,7 @@ from . import common, graph
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6  # at 0.8: a pair is missed with probability 0.00006
-SMALL_BUCKET = 24
+FAN = 256
 RANGES = 1 << 18
 MARGIN = 0.16  # of the sketch estimate; its standard deviation at 0.8 is 0.029
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -150,23 +149,25 @@ def overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(size: int, threshold: float):
-    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(text.encode(), np.uint8)
-        grams, counts, _ = bags(data, np.array([0, len(data)]), size)
-        return grams, counts
+    """Rows (a, b, text) in order: the text of a, with null b, stands before the texts of the b that it is compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
+        mine = None
         for batch in batches:
-            keep, scores = [], []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, mine = a, bag(x)
-                score = overlap(mine, bag(y))
-                keep.append(score >= threshold)
-                scores.append(score)
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen), pa.array(scores, pa.float64()).filter(chosen)], names=["a", "b", "similarity"])
+            alone = batch.column(1).is_null().to_pylist()
+            at, found = [], []
+            for i, j, data, offs in common.slices(batch, "text"):
+                grams, counts, owner = bags(data, offs, size)
+                edge = np.searchsorted(owner, np.arange(j - i + 1)).tolist()
+                for k in range(j - i):
+                    own = grams[edge[k] : edge[k + 1]], counts[edge[k] : edge[k + 1]]
+                    if alone[i + k]:
+                        mine = own[0].copy(), own[1].copy()
+                    elif (score := overlap(mine, own)) >= threshold:
+                        at.append(i + k)
+                        found.append(score)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
@@ -250,24 +251,27 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, band
     held = common.materialize(held.select("node", "text").dropDuplicates(["node"]), "held")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return texts.select("a", "b", "x", "y").mapInArrow(_verify(size, threshold), "a string, b string, similarity double")
+        """Each a's text is sent once for every FAN of its partners, dealt by a turn, so that no text is one task's whole work."""
+        pairs = common.materialize(pairs, "pairs")
+        turns = common.materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("turns")), "turns")
+        own = pairs.join(turns, "a").select("a", F.pmod(F.xxhash64("b"), F.col("turns")).cast("int").alias("turn"), "b")
+        own = own.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "turn", "b", "text")
+        lead = turns.select("a", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("string").alias("b"))
+        lead = lead.join(held.select(F.col("node").alias("a"), "text"), "a").select("a", "turn", "b", "text")
+        dealt = own.unionByName(lead).repartition("a", "turn").sortWithinPartitions("a", "turn", F.col("b").asc_nulls_first())
+        return dealt.select("a", "b", "text").mapInArrow(_verify(size, threshold), "a string, b string, similarity double")
 
     first = estimated(member.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     best = first.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
     one = common.materialize(verified(best), "links")
     classes = graph.components(one)
-    # what is left: buckets that hold several classes, and in them all pairs of different classes
-    at = member.join(classes.select("node", "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-    mixed = at.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    left = common.materialize(at.join(mixed, "bucket"), "left")
-    few = left.where(F.col("n") <= SMALL_BUCKET)
-    x, y = few.select("bucket", F.col("node").alias("a"), F.col("class").alias("p")), few.select("bucket", F.col("node").alias("b"), F.col("class").alias("q"))
-    rest = x.join(y, "bucket").where("a < b and p <> q").select("a", "b").distinct()
-    many = left.where(F.col("n") > SMALL_BUCKET).select("node", "class").distinct().join(held, "node")
-    rest = rest.union(_by_prefix(common.materialize(many, "open"), size, threshold)).distinct()
+    # what is left: texts of buckets that hold several classes, and all pairs of them that can reach the threshold
+    at = common.materialize(member.join(classes.select("node", "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "left")
+    mixed = at.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = at.join(mixed, "bucket", "left_semi").select("node", "class").distinct()
+    rest = _by_prefix(common.materialize(open_.join(held, "node"), "open"), size, threshold)
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    two = verified(estimated(rest.join(done, ["a", "b"], "left_anti")).select("a", "b").sort("a", "b"))
+    two = verified(estimated(rest.join(done, ["a", "b"], "left_anti")).select("a", "b"))
     every = one.unionByName(two).select("a", "b")
     return signed.select("node", "doc_id", F.col("sketch").isNotNull().alias("known")), graph.components(every)
 
@@ -283,7 +287,8 @@ def _classed(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, class_size): a row for each row of docs; class_id is the class's least doc_id."""
     each = _classed(docs, threshold, size, bands, rows)
-    named = each.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written, so that the join back is one whose skewed partitions can be split
+    named = common.materialize(each.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "named")
     return each.join(named, "class").select("doc_id", "class_id", "class_size")
 
 
@@ -291,9 +296,10 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, that of the least doc_id; rows without words all stay."""
     each = _classed(docs, threshold, WORDS, BANDS, ROWS).where("known")
     row = lambda node: F.concat(node, F.lit(":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    keep = each.withColumn("row", row(F.col("node"))).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("_row"))
+    (key,) = common.unused(docs, "row")
+    keep = each.withColumn("row", row(F.col("node"))).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias(key))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumn("_row", row(F.md5(text.cast("binary"))))
-    kept = rows.where(~wordless).join(keep, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.unionByName(rows.where(wordless)).drop("_row")
+    rows = docs.withColumn(key, row(F.md5(text.cast("binary"))))
+    kept = rows.where(~wordless).join(keep, key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(rows.where(wordless)).drop(key)

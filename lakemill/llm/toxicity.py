@@ -20,6 +20,7 @@ label 1 (0 if there are none); repeated rows are each scored; empty tables work;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,7 +156,7 @@ def _vectors(words: np.ndarray, groups: list[np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy()
+            toxic, ids = batch.column(1), batch.column(2)
             for i, j, data, offs in common.slices(batch, "text"):
                 h, t, s, every = _words_of(data, offs, words)
                 hit, at = _locate(words, h)
@@ -171,9 +172,10 @@ def _vectors(words: np.ndarray, groups: list[np.ndarray]):
                 for x, w, _ in sorted({(int(x), int(w), int(z)) for x, w, z in zip(text, which, sentence, strict=True)}):
                     swaps[x] |= {(w, int(v)) for v in groups[group_of[w]] if v != w}
                 edge = np.searchsorted(own, np.arange(j - i + 1))
+                features = [np.sort(feature[edge[k] : edge[k + 1]]).astype(np.int32) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[i:j]), pa.array([feature[edge[k] : edge[k + 1]].tolist() for k in range(j - i)], pa.list_(pa.int32())), pa.array([[v for pair in sorted(x) for v in pair] for x in swaps], pa.list_(pa.int32()))],
-                    names=["toxic", "features", "swaps"],
+                    [ids.slice(i, j - i), pa.array([zlib.crc32(x.tobytes()) for x in features], pa.int64()), toxic.slice(i, j - i), pa.array(features, pa.list_(pa.int32())), pa.array([[v for pair in sorted(x) for v in pair] for x in swaps], pa.list_(pa.int32()))],
+                    names=["id", "mark", "toxic", "features", "swaps"],
                 )
 
     return run
@@ -227,10 +229,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """Fit on documents that labels (doc_id, toxic) marks 0 or 1; at most ``sample`` of them."""
     common.prepare(docs.sparkSession)
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marked = common.materialize(marked.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(6)), "_id").limit(sample), "sample")
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marked = common.materialize(marked.withColumn("turn", F.xxhash64(F.col("id").cast("string"), F.lit(6))), "labels")
+    # about twice the rows wanted pass, so what one task sorts does not grow with the input
+    share = min(1.0, (2.0 * sample + 200) / max(1, marked.count()))
+    marked = marked.where((F.col("turn") / 2.0**64 + 0.5) <= share).orderBy("turn", "id").limit(sample)
+    marked = common.materialize(marked.select("id", "toxic"), "sample")
     # at most ``sample`` rows of two numbers, whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), F.col("_doc") == F.col("_id")).select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), F.col("doc") == F.col("id")).select("text", "toxic", "id")
     rows = common.materialize(rows, "sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -248,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     groups = [[word_hash(w) for w in line.split()] for line in IDENTITY]
     words = np.unique(np.concatenate([word[order].view(np.uint64), np.array([h for g in groups for h in g], np.uint64)]))
     members = [np.searchsorted(words, np.array(g, np.uint64)) for g in groups]
-    got = rows.mapInArrow(_vectors(words, members), "toxic int, features array<int>, swaps array<int>").orderBy(F.xxhash64("toxic", "features"), "toxic").toArrow()
+    got = rows.mapInArrow(_vectors(words, members), "id long, mark long, toxic int, features array<int>, swaps array<int>").toArrow()
+    got = got.take(np.lexsort([got[c].to_numpy() for c in ("toxic", "mark", "id")]))  # one order, so that sums come out alike
     features, pairs = (got[c].combine_chunks() for c in ("features", "swaps"))
     x = np.zeros((got.num_rows, len(words)), np.uint8)
     x[np.repeat(np.arange(got.num_rows), np.diff(features.offsets.to_numpy())), features.flatten().to_numpy()] = 1
@@ -262,15 +269,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     return Model(words, w[:-1], float(w[-1]))
 
 
+def scores(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, scores) of a batch's texts, slice by slice."""
+    for i, j, data, offs in common.slices(batch, "text"):
+        h, t, _, _ = _words_of(data, offs, model.words)
+        hit, at = _locate(model.words, h)
+        z = model.offset + np.bincount(t[hit], weights=model.weights[at], minlength=j - i)
+        yield i, j, 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in common.slices(batch, "text"):
-                h, t, _, _ = _words_of(data, offs, model.words)
-                hit, at = _locate(model.words, h)
-                text = t[hit]
-                z = model.offset + np.bincount(text, weights=model.weights[at], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=["doc_id", "score"])
+            for i, j, p in scores(model, batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
     return run
 
@@ -295,11 +307,10 @@ def judge(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0) ->
 def reject(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0) -> DataFrame:
     """docs without the rows whose text scores 0.5 or more."""
     model = learned(docs, labels, parts, part)
-    toxic = F.pandas_udf(lambda text: text.map(lambda x: _one(model, x)), "boolean")
-    return docs.where(~toxic(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        found = [p < 0.5 for _, _, p in scores(model, pa.RecordBatch.from_arrays([text], ["text"]))]
+        return pa.array(np.concatenate([np.zeros(0, bool), *found]))
 
-def _one(model: Model, text: str) -> bool:
-    data = np.frombuffer(text.encode(), np.uint8)
-    _, at = _locate(model.words, _words_of(data, np.array([0, len(data)]), model.words)[0])
-    return bool(model.offset + model.weights[at].sum() >= 0)
+    return docs.where(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
