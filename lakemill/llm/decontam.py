@@ -16,7 +16,7 @@ the tasks; documents are only scanned, never shuffled.
 
 Cases: words are folded to lower case (ASCII) and stripped of punctuation at their ends, a word of punctuation
 stays as it is; null or empty texts and items match nothing; an item of
-fewer than N words is no evidence inside a longer text and matches only a text of just its words; equal items each report; repeated document rows each report; several copies of an item in one document
+fewer than ``shortest`` = N words is no evidence inside a longer text and matches only a text of just its words; equal items each report; repeated document rows each report; several copies of an item in one document
 are one row, that of the best score; empty tables give no rows; extra columns are ignored.
 """
 
@@ -36,7 +36,7 @@ N = 4
 SEED = 2
 SHARE = 0.4
 LEAST = 8
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 HITS = 1 << 22  # hits held at once, but for a single text
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -63,7 +63,8 @@ def folded_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 class Items:
     """A block of the benchmark: words of each item and a sorted table of the n-grams of items of N words or more."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], shortest: int = N) -> None:
+        self.shortest = shortest
         self.ids = [r[0] for r in rows]
         raw = [(r[1] or "").encode() for r in rows]
         offs = np.cumsum([0, *map(len, raw)])
@@ -72,12 +73,12 @@ class Items:
         self.size = np.diff(self.first)
         grams, at = common.ngrams(self.words, self.first, SEED)
         item = np.searchsorted(self.first, at, side="right") - 1
-        long = self.size[item] >= N
+        long = self.size[item] >= max(SEED, shortest)  # a text shorter than a pair has its words as one n-gram, which is no pair
         self.grams, self.item = grams[long], item[long]
         self.keys = np.unique(self.grams)
         self.vocabulary = np.unique(self.words)
         self.short: dict[tuple, list[int]] = defaultdict(list)
-        for k in np.flatnonzero((self.size > 0) & (self.size < N)).tolist():
+        for k in np.flatnonzero((self.size > 0) & (self.size < shortest)).tolist():
             self.short[tuple(self.of(k).tolist())].append(k)
 
     def of(self, k: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     grams, owner, need, span = seeds
     keys = np.unique(grams)
     left, right = np.searchsorted(grams, keys, "left"), np.searchsorted(grams, keys, "right")
-    free = np.flatnonzero((items.size >= N) & (need < 1)).tolist()  # a low share asks for no intact pair: aligned to every text
+    free = np.flatnonzero((items.size >= max(1, items.shortest)) & (need < 1)).tolist()  # a low share asks for no intact pair: aligned to every text
 
     def near(where: np.ndarray, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first word, end word) of each stretch that holds the hits of a copy."""
@@ -235,7 +236,7 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
                         if score >= share * len(item) and matches >= min(least, len(item)):
                             best[t, k] = max(best[t, k], (score, matches, -(a + x - int(first[t])), a + y - int(first[t]), len(item)))
                 size = np.diff(first)
-                for t in np.flatnonzero((size > 0) & (size < N)).tolist() if items.short else ():
+                for t in np.flatnonzero((size > 0) & (size < items.shortest)).tolist() if items.short else ():
                     for k in items.short.get(tuple(words[first[t] : first[t + 1]].tolist()), ()):
                         best[t, k] = (int(size[t]), int(size[t]), 0, int(size[t]), int(size[t]))
                 rows += [(ids[i + t].as_py(), items.ids[k], *v) for (t, k), v in best.items()]
@@ -247,25 +248,28 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, shortest: int) -> Iterator[Items]:
     rows, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= BLOCK_BYTES:
-            yield Items(rows)
+            yield Items(rows, shortest)
             rows, size = [], 0
     if rows:
-        yield Items(rows)
+        yield Items(rows, shortest)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, score, n_matched, first_word, end_word): a row for each document and item that it holds."""
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, shortest: int = N) -> DataFrame:
+    """(doc_id, item_id, score, n_matched, first_word, end_word): a row for each document and item that it holds.
+
+    Items of fewer than ``shortest`` words match whole texts only; with 1 all are looked for inside texts too.
+    """
     common.prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, n_matched int, first_word long, end_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, shortest):
         counted = texts.mapInArrow(_counter(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = {r["gram"]: r["n"] for r in counted.collect()}  # at most the block's own n-grams
         if len(items.words):
@@ -273,7 +277,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: in
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, shortest: int = N) -> DataFrame:
     """docs without the rows whose doc_id has a leak; a null doc_id is matched by null."""
-    bad = leaks(docs, benchmark, share, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    (key,) = common.unused(docs, "bad")
+    bad = leaks(docs, benchmark, share, least, shortest).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
