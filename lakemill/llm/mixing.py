@@ -14,7 +14,7 @@ of finish time. All of it is DataFrame operations.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a source, the last;
 rows with equal order keys follow doc_id, then size; repeated rows count each; an empty table gives no rows; extra
-columns are kept by ``mix`` and ignored by ``plan``. A null doc_id shuffles as the text "null".
+columns are kept by ``mix`` and ignored by ``plan``. A null doc_id is shuffled by its text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096  # of finish time; a bucket of 10 billion documents has 2.4 million rows
+BUCKETS = 4096  # of the shuffled order; of a source of 3 billion documents one holds 0.8 million
+SPANS = 1 << 16  # of finish time, for each unit of it; 10 billion documents in the mix put about 0.15 million into one
 
 
 def size_of(text: Column) -> Column:
@@ -59,9 +60,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_perce
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_percent: int = 150, cap: int = 2, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = rows.withColumn("key", digest).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), name).cast("binary")).alias("key"))
+    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     rows = common.materialize(rows, "mix")
     by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_percent, cap)
     # where each range of the shuffled order begins within its source
@@ -77,7 +78,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_percent:
     queued = common.materialize(queued.drop("bucket", "base", "upto"), "mix")
     # global order: sums over ranges of finish time find the range in which the budget ends
     budget = (rows.agg(F.sum("size").alias("n")).first()["n"] or 0) * budget_percent // 100
-    span = lambda c: F.least(F.floor(c * (BUCKETS // 4)), F.lit(BUCKETS * 4)).cast("int")
+    span = lambda c: F.least(F.floor(c * SPANS), F.lit(SPANS * 16)).cast("int")
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.col(f"finish_{k}").alias("finish")) for k in range(cap)])).alias("turn")
     turns = queued.where("size > 0").select("key", "doc_id", "source", "size", stack).select("key", "doc_id", "source", "size", "turn.pass", "turn.finish")
     ranges = turns.groupBy(span(F.col("finish")).alias("span")).agg(F.sum("size").alias("n"))
@@ -113,10 +114,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_percent: i
 
     Rows that agree in doc_id, source and size are one row to the plan; their copies are dealt evenly.
     """
+    i, s, z, copies, same, n, own, each = common.unused(docs, "id", "of", "size", "copies", "same", "words", "own", "each")
     chosen = plan(docs, weights, budget_percent, cap, seed)
-    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    rows = docs.withColumn("_n", size_of(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text"))
-    joined = rows.join(chosen, on, "inner").withColumn("_own", F.expr("_copies div _rows") + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
-    return joined.where("_own > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = chosen.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z)).agg(F.sum("copies").alias(copies), F.count("*").alias(same)).where(F.col(copies) > 0)
+    rows = docs.withColumn(n, size_of(F.col("text").cast("string")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (F.col(n) == F.col(z))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", n).orderBy("text"))
+    joined = rows.join(chosen, on, "inner").withColumn(own, F.floor(F.col(copies) / F.col(same)) + F.when(turn <= F.col(copies) % F.col(same), 1).otherwise(0))
+    return joined.where(F.col(own) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(own).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
