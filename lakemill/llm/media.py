@@ -3,8 +3,8 @@
 A text's UTF-8 bytes, padded with 255 (a byte UTF-8 never holds) to a positive multiple of 576,
 become an 8-bit greyscale PNG of 576 samples a row. Tasks write their members one after another
 into an archive file; behind them stand a directory of fixed-size entries, a stride table (where
-each run of about STRIDE bytes begins) and a footer. The reader's driver side opens footers and stride tables only, so
-planning cost follows bytes / STRIDE and not the number of members. Each partition is one byte range; its task
+each run of about STRIDE bytes begins) and a footer. Commits carry the strides to a manifest, the one file that the reader's driver
+side opens, so planning follows bytes / STRIDE and not the number of members or archives. Each partition is one byte range; its task
 fetches runs of members, checks each one, and fetches a failed member again alone, by its offset.
 
 Cases: null and empty texts are one row of padding; a null doc_id stays null; repeated rows give
@@ -91,6 +91,8 @@ class Written(WriterCommitMessage):
     partition: int
     name: str
     rows: int
+    directory: int
+    strides: list[int]  # the first member of each
 
 
 class ArchiveWriter(DataSourceArrowWriter):
@@ -120,14 +122,14 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.write(directory)
             out.write(np.array(strides, "<u8").tobytes())
             out.write(FOOTER.pack(len(entries), at, len(strides), zlib.crc32(directory)))
-        return Written(part, name, len(entries))
+        return Written(part, name, len(entries), at, [first for first, _ in strides])
 
     def commit(self, messages) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
         done = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.partition)
         with store.open_output_stream(f"{root}/_archives.json") as out:
-            out.write(json.dumps([m.name for m in done]).encode())
+            out.write(json.dumps([[m.name, m.rows, m.directory, m.strides] for m in done]).encode())
 
     def abort(self, messages) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -152,16 +154,19 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         store, root = fs.FileSystem.from_uri(self.path)
         with store.open_input_stream(f"{root}/_archives.json") as f:
-            names = json.loads(f.read())
-        out = []
-        for name in names:
-            with store.open_input_file(f"{root}/{name}") as f:
-                members, directory, strides, _ = FOOTER.unpack(f.read_at(FOOTER.size, f.size() - FOOTER.size))
-                table = np.frombuffer(f.read_at(16 * strides, f.size() - FOOTER.size - 16 * strides), "<u8").reshape(-1, 2)
-            bounds = [*table[:, 0].tolist(), members]
-            out += [Range(name, directory, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+            archives = json.loads(f.read())
+        out = [Range(name, directory, a, b) for name, members, directory, strides in archives for a, b in zip(strides, [*strides[1:], members], strict=True)]
         return out or [Range("", 0, 0, 0)]
 
+    def ranges_of(self, name: str) -> list[Range]:
+        """The ranges of one archive, by its own footer and stride table: for an archive whose manifest is lost."""
+        store, root = fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(f"{root}/{name}") as f:
+            members, directory, strides, _ = FOOTER.unpack(f.read_at(FOOTER.size, f.size() - FOOTER.size))
+            table = np.frombuffer(f.read_at(16 * strides, f.size() - FOOTER.size - 16 * strides), "<u8").reshape(-1, 2)
+        bounds = [*table[:, 0].tolist(), members]
+        return [Range(name, directory, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def member(self, f, entry) -> tuple[bytes | None, str | None]:
         """One member by its offset, again and again until it is whole."""
         why = ""
