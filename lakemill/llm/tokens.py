@@ -72,6 +72,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
+# The steps of a tokenizer that never look across white space, as its file states them.
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -81,8 +85,8 @@ class Encoder:
     The tokenizer's own steps never look across ASCII white space, nor between a letter and a
     full stop or comma that ends a word, and they fold case. So texts are cut there, and the
     library encodes each distinct piece once; a bounded table keeps the results. Texts that
-    hold ``<|`` may contain special tokens and go to the library whole, as do all texts if
-    the tokenizer file has another pipeline than this rule is proven for.
+    hold the beginning of an added token go to the library whole, as do all texts if
+    the tokenizer file has other steps or patterns than those this rule is proven for.
     """
 
     def __init__(self, path: str) -> None:
@@ -90,9 +94,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pre = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
+        levels = [{k: x.get(k) for k in _LEVEL} for x in rest]
+        self.by_word = steps == _STEPS and split == _SPLIT and levels == [_LEVEL] and spec["model"]["type"] == "BPE"
+        # a text that holds the first bytes of an added token may hold the token, whose ends follow rules of their own
+        self.marks = {x["content"].lower().encode()[:2] for x in spec.get("added_tokens", [])}
         self.clear()
 
     def clear(self) -> None:
@@ -101,6 +108,9 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def marked(self, folded: bytes) -> bool:
+        return any(x in folded for x in self.marks)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -124,15 +134,14 @@ class Encoder:
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a slice, each text closed by end_id, and the ends of the texts."""
         n = len(offs) - 1
-        raw = data.tobytes()
-        if not self.by_word or b"<|" in raw:
+        raw, low = data.tobytes(), _LOWER[data]
+        if not self.by_word or self.marked(low.tobytes()):
             own = [raw[offs[i] : offs[i + 1]] for i in range(n)]
             if not self.by_word or n == 1:
                 got = [self.whole(x.decode("utf-8", "replace")) for x in own]
                 return np.concatenate([y for x in got for y in (x, [end_id])]).astype(np.uint32), np.cumsum([len(x) + 1 for x in got])
             each = [self.encode(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]), end_id) for i in range(n)]
             return np.concatenate([x for x, _ in each]), np.cumsum([len(x) for x, _ in each])
-        low = _LOWER[data]
         starts, ends, first = common.spans_of_words(low, offs)
         tail = ends - 1
         cut = (tail > starts) & np.isin(low[tail], (0x2E, 0x2C)) if len(starts) else np.zeros(0, bool)
@@ -313,7 +322,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     common.prepare(spark)
     spark.dataSource.register(TokenFiles)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text parts rows of one doc_id, or of none, without another order
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows.write.format("lakemill_tokens").option("tokenizer", tokenizer).option("end_id", str(end_id)).mode("append").save(path)
 
 
