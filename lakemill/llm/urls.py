@@ -7,7 +7,8 @@ normal forms, and the links' connected components are computed by distributed st
 allowed URL is allowed; else one that holds a blocked URL is blocked; else the default holds. So blocks spread to aliases,
 and an allow takes precedence.
 
-Finding the rule is a lookup of the host's suffixes: the rules are a stated list of at most MAX_RULES.
+Finding the rule is a join of each different host's suffixes to the rules' hosts, then a search among a host's rules in order of
+length; the rules are a list or a table of any length.
 
 Cases: a null URL or one without ``://`` has empty host and path, no rule, and no aliases; hosts fold A-Z only; a
 null page_id is kept; repeated rows are each judged; empty tables work; extra columns are ignored. The normal
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-MAX_RULES = 10_000
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_CANONICAL = [
-    (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-    (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
-    (r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", r"(?is)\bcontent\s*=\s*[\"']?([^\"'\s>]+)"),
+_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_NAMES = [
+    (r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"),
+    (r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?i)\burl\s*=\s*()()[\"']?([^\"'\s>]+)"),
+    (r"(?i)^<meta\b.*\bproperty\s*=\s*[\"']?og:url\b", r"(?i)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"),
 ]
 
 
@@ -39,18 +40,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """A struct (rule, verdict) of the winning rule, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many rules for one expression")
-    ordered = sorted(rules, key=lambda r: (-len(r[0]), -len(r[1]), r[2]))
-    # one test by host suffix for each rule host, then its paths, longest first
-    chain = None
-    for h, p, verdict in reversed(ordered):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        won = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        chain = F.when(fits, won).otherwise(chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>"))
-    return chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
+def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (host, path, ...) with rule and verdict of the winning rule (at, begin, verdict), or nulls.
+
+    Each different host is joined to the rules by its suffixes; a row then tries its host's rules in order.
+    """
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = rows.select("host").distinct().select("host", F.explode(suffixes).alias("at")).join(rules, "at")
+    order = F.struct((-F.length("at")).alias("a"), (-F.length("begin")).alias("b"), "verdict", "at", "begin")
+    fits = common.materialize(hosts.groupBy("host").agg(F.array_sort(F.collect_set(order)).alias("fits")), "rules")
+    won = F.get(F.filter("fits", lambda r: F.col("path").startswith(r["begin"])), F.lit(0))
+    out = rows.join(fits, "host", "left").withColumn("fits", won)
+    return out.select(*rows.columns, F.concat("fits.at", "fits.begin").alias("rule"), F.col("fits.verdict").alias("verdict"))
 
 
 def normal_form(url: Column) -> Column:
@@ -62,25 +64,51 @@ def normal_form(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
+def _absolute(url: Column, link: Column) -> Column:
+    """A link of a page as an absolute URL; null for a place in the page, another kind of link, or a page without host."""
+    base, scheme = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    path, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(F.concat(F.regexp_replace(F.concat(F.lit("/"), F.ltrim(path_of(url), F.lit("/"))), r"[^/]*$", ""), path), "/")
+    up = lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    resolved = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+    return (
+        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link)
+        .when((base == "") | link.rlike(r"^(?:#|[a-zA-Z][a-zA-Z0-9+.-]*:|$)"), None)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("?"), F.concat(base, path_of(url), link))
+        .otherwise(F.concat(base, resolved, tail))
+    )
+
+
 def declared(url: Column, html: Column) -> Column:
-    """Absolute URLs that a page's canonical link, refresh or og:url name; relative ones are resolved by host."""
-    found = [F.regexp_extract(F.regexp_extract(F.coalesce(html, F.lit("")), tag, 0), value, 1) for tag, value in _CANONICAL]
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    named = [F.when(x.contains("://"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/") & (base != ""), F.concat(base, x)) for x in found]
-    return F.array_compact(F.array(*named))
+    """Absolute URLs that a page's canonical links, refreshes and og:url tags name."""
+
+    def value(tag: Column) -> Column:
+        out = F.lit("")
+        for kind, pattern in _NAMES:
+            out = F.when(tag.rlike(kind), F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])).otherwise(out)
+        return F.regexp_replace(F.trim(out), r"(?i)&(?:amp|#38|#x26);", "&")
+
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TAG), F.lit(0))
+    links = F.filter(F.transform(tags, lambda t: value(F.translate(t, "\r\n", "  "))), lambda x: x != "")
+    return F.array_compact(F.array_distinct(F.transform(links, lambda x: _absolute(F.coalesce(url, F.lit("")), x))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict) for every row of pages (page_id, url, html)."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow") -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row of pages (page_id, url, html); rules are (host, path, verdict)."""
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), normal_form(url).alias("node"), F.transform(declared(url, html), normal_form).alias("links"), F.transform(declared(url, html), lambda u: rule_of(host_of(u), path_of(u), rules)["verdict"]).alias("targets"))
-    rows = rows.withColumn("won", rule_of(F.col("host"), F.col("path"), rules))
-    rows = common.materialize(rows.select("page_id", "host", "path", "node", "links", "targets", F.col("won.rule").alias("rule"), F.col("won.verdict").alias("verdict")), "urls")
-    pairs = rows.where("node is not null and size(links) > 0").select("node", F.explode(F.arrays_zip("links", "targets")).alias("x")).select("node", F.col("x.links").alias("other"), F.col("x.targets").alias("verdict")).where("other is not null")
-    classes = graph.components(pairs.select("node", "other"))
+    table = rules.toDF("at", "begin", "verdict") if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(rules, "at string, begin string, verdict string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), normal_form(url).alias("node"), declared(url, html).alias("links"))
+    rows = common.materialize(rows, "urls")
+    links = rows.where("node is not null and size(links) > 0").select("node", F.explode("links").alias("url")).distinct()
+    links = links.select("node", normal_form(F.col("url")).alias("other"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("other is not null")
+    links = common.materialize(ruled(common.materialize(links, "links"), table), "links")
+    classes = graph.components(links.select("node", "other"))
+    rows = common.materialize(ruled(rows.select("page_id", "host", "path", "node"), table), "urls")
     # what is known of each normal form, combined before the shuffle, then of each component
-    known = rows.where("node is not null and verdict is not null").select("node", "verdict").unionByName(pairs.where("verdict is not null").select(F.col("other").alias("node"), "verdict"))
+    known = rows.where("node is not null and verdict is not null").select("node", "verdict").unionByName(links.where("verdict is not null").select(F.col("other").alias("node"), "verdict"))
     known = known.groupBy("node").agg(F.min("verdict").alias("verdict"))  # allow comes before block
     named = known.join(classes, "node", "left").select(F.coalesce("component", "node").alias("class"), "verdict").groupBy("class").agg(F.min("verdict").alias("spread"))
-    judged = rows.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).join(named, "class", "left")
+    judged = rows.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).join(common.materialize(named, "spread"), "class", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit(default)).alias("verdict"))
