@@ -6,9 +6,10 @@ and each distinct word of a slice is scored once. One linear support vector mach
 picks the family; for each pair of languages of it another votes, ties by margin. With one family
 or one language there is nothing to choose.
 
-Training uses a bounded sample: the PER_LANGUAGE rows of each of the LANGUAGES most frequent languages that come first in order of
+Training uses a bounded sample: SAMPLE rows, dealt evenly to all languages, of each at most PER_LANGUAGE, those that come first in order of
 a hash of doc_id. A first count of rows by language says which hashes can be among them. Features are made on the executors; the
-driver fits PER_LANGUAGE x languages rows of DIMENSIONS numbers.
+driver fits SAMPLE rows of DIMENSIONS numbers at most, however many languages there are. Every language that occurs is learned; over SAMPLE of
+them are an error. A family of more than GROUP languages is dealt into groups of neighbouring codes, so machines grow with the languages and not with their square.
 
 Cases: a null text or one without a letter is ``und`` with score 0; rows of null lang are not learned from; a null
 doc_id is not held out and not learned from; repeated rows are each scored; with nothing to learn from
@@ -17,6 +18,7 @@ every row is ``und``; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,7 +32,8 @@ from . import common
 
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 700
-LANGUAGES = 500  # the most frequent ones are learned
+SAMPLE = 8000  # rows of all languages together; each gets an equal part, PER_LANGUAGE at most
+GROUP = 16  # a family of more languages is dealt into groups of so many
 # Language codes by family; codes not listed form one family of their own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -97,7 +100,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = edges[own + 1] - edges[own]
                 flat = feature[np.repeat(edges[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
                 out.append((np.bincount(flat, minlength=DIMENSIONS) / max(1, len(own))).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([zlib.crc32(v) for v in out], pa.int64()), pa.array(out, pa.binary())], names=["lang", "mark", "x"])
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
@@ -127,6 +130,10 @@ class Model:
         self.scale = 1 / (x.std(axis=0) + 0.02) if len(x) else np.ones(DIMENSIONS, np.float32)
         x = ((x - self.mean) * self.scale / np.sqrt(DIMENSIONS)).astype(np.float32)
         family = {c: _FAMILY.get(c, "other") for c in self.langs}
+        for name in set(family.values()):
+            members = [c for c in self.langs if family[c] == name]
+            if len(members) > GROUP:
+                family |= {c: f"{name} {k // GROUP}" for k, c in enumerate(members)}
         self.families = sorted(set(family.values()))
         self.members = [[k for k, c in enumerate(self.langs) if family[c] == f] for f in self.families]
         of = np.array([family[c] for c in lang])
@@ -179,14 +186,16 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Mod
     common.prepare(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if counts:
-        # about twice the rows wanted pass, so what one task sorts does not grow with the input
-        share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * per_language + 50) / n))]), F.col("lang"))
-        rows = rows.where((F.col("h") / 2.0**64 + 0.5) <= share)
+    counts = rows.groupBy("lang").count().limit(SAMPLE + 1).collect()
+    if len(counts) > SAMPLE:
+        raise ValueError(f"over {SAMPLE} languages")
+    per_language = min(per_language, SAMPLE // max(1, len(counts)))
+    # about twice the rows wanted pass, so what one task sorts does not grow with the input
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * per_language + 50) / r["count"])) for r in counts], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang").where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= per_language)
-    got = rows.select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", F.xxhash64("x")).toArrow()
+    got = rows.select("lang", "text").mapInArrow(_features, "lang string, mark long, x binary").toArrow().sort_by([("lang", "ascending"), ("mark", "ascending")])
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f4").reshape(len(lang), DIMENSIONS)
     return Model(sorted(set(lang)), x, lang)
