@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -545,16 +545,17 @@ def _match(parts: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed() -> tuple[Column, Column, Column]:
+    """A row's key (its doc_id, or the last place), the tag of its text, and the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))).withColumn("_tag", F.xxhash64(text)).withColumn("_text", text)
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), F.xxhash64(text), text
 
 
 def marks(docs: DataFrame) -> DataFrame:
     """(key, tag, whole, cover): for rows with repeats, places whose full context, or whose next LENGTH bytes, are covered."""
     spark = docs.sparkSession
     common.prepare(spark)
-    texts = _keyed(docs.select("doc_id", "text")).select(F.col("_key").alias("key"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
+    texts = docs.select(*[c.alias(n) for c, n in zip(_keyed(), ("key", "tag", "text"), strict=True)])
     # ranges follow the bytes to scan, so that one range's blobs fit a worker
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
@@ -612,24 +613,27 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == 4 else pa.int64()) for k in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    found = marks(docs).withColumnsRenamed({"key": "_k", "tag": "_t", "whole": "_whole", "cover": "_cover"})
-    rows = _keyed(docs)
-    return rows.join(found, (F.col("_key") == F.col("_k")) & (F.col("_tag") == F.col("_t")), "left")
+def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with the names of three more columns: whole text, and its two kinds of covered places."""
+    key, tag, text, k, t, whole, cover = names = common.unused(docs, "key", "tag", "whole_text", "k", "t", "whole", "cover")
+    found = marks(docs).withColumnsRenamed({"key": k, "tag": t, "whole": whole, "cover": cover})
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(_keyed(), names, strict=False)])
+    return rows.join(found, (F.col(key) == F.col(k)) & (F.col(tag) == F.col(t)), "left"), [text, whole, cover]
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
-    rows = _marked(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "_text", "_whole", "_cover")
-    return rows.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, names = _marked(docs.select("doc_id", "text"))
+    return rows.select(F.col("doc_id").cast("long"), *names).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with covered bytes cut out of text; a character whose bytes are cut in part is dropped (U+FFFD never arises)."""
 
-    @F.pandas_udf("string")
-    def cut(text, whole, cover):
-        return text.combine(whole, lambda *x: x).combine(cover, lambda a, c: _cut(*a, c)[0].decode("utf-8", "ignore"))
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, whole: pa.Array, cover: pa.Array) -> pa.Array:
+        return pa.array([_cut(*x)[0].decode("utf-8", "ignore") for x in zip(text.to_pylist(), whole.to_pylist(), cover.to_pylist(), strict=True)], pa.string())
 
-    rows = _marked(docs)
-    return rows.withColumn("text", F.when(F.col("text").isNotNull(), cut("_text", "_whole", "_cover"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = _marked(docs)
+    kept = F.when(F.col("text").isNotNull(), cut(*names)).alias("text")
+    return rows.select(*[kept if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])
