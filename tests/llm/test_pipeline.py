@@ -28,6 +28,37 @@ def test_stages(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and ids(out) == ids(mixed)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty and very long texts, clashing columns, and an empty table."""
+    long = " ".join(f"w{k % 977}" for k in range(40_000))
+    rows = [(k, f"text {k} " + " ".join(f"v{k * 31 + j}" for j in range(30)), "en", "a", 9, "x", "y") for k in range(30)]
+    rows += [rows[3], (30, None, None, None, None, None, None), (31, "", "en", "b", 0, "x", "y"), (32, long, "de", None, 5, "x", "y"), (33, long + " end", "de", "b", 5, "x", "y"), (None, "no id at all but some words here", "en", "b", 1, "x", "y"), (None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, size string"
+    spark.createDataFrame([(k, int(k % 5 == 0), 1) for k in range(30)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for made in (rows, []):
+        docs = spark.createDataFrame(made, schema)
+        for name, stage in P.STAGES[:-1]:
+            after = stage(spark, docs, str(tmp_path)).cache()
+            assert after.columns == docs.columns
+            if name == "near_dedup" and made:
+                got = collections.Counter(r.doc_id for r in after.collect())
+                assert got[3] <= 1 and got[32] + got[33] == 1 and got[30] == got[31] == 1
+            if name == "decontamination" and made:
+                assert 7 not in {r.doc_id for r in after.collect()} and after.count() >= docs.count() - 1
+            docs = after
+        out = P.token_stage(spark, docs, str(tmp_path)).collect()
+        assert len(out) == docs.count() and all(r.n_tokens >= 1 for r in out)
+
+
+def test_run_leaves_only_its_result(spark):
+    from lakemill.llm import common
+
+    there = common.written()
+    out = P.run(spark, SF)
+    assert common.written() == there + 1 and out.count() > 0
+
+
 def test_registered_queries(spark):
     import __spark_entry__ as entry
 
