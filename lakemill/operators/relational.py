@@ -17,15 +17,17 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 def fetch(df: DataFrame, keys: list[Column], n: int, ties: bool = False, offset: int = 0) -> DataFrame:
     """OFFSET / FETCH FIRST n ROWS ONLY or WITH TIES.
 
-    Only rows are sorted by Spark's top-k operator. Ties take everything at or before the n-th row's keys: the keys of that row,
-    one row, are found by top-k and joined back.
+    Only rows are sorted by Spark's top-k operator. With ties everything of rank offset + n or less is taken: Spark keeps
+    only such ranks of each partition before one task brings them together, so that task sees the result and not the table.
     """
-    ordered = df.orderBy(*keys)
     if not ties:
+        ordered = df.orderBy(*keys)
         return (ordered.offset(offset) if offset else ordered).limit(n)
-    ranked = df.withColumn("_rank", F.rank().over(Window.orderBy(*keys))).withColumn("_row", F.row_number().over(Window.orderBy(*keys)))
-    edge = ranked.where(F.col("_row") <= offset + n).agg(F.max("_rank").alias("_edge"))
-    return ranked.crossJoin(F.broadcast(edge)).where((F.col("_row") > offset) & (F.col("_rank") <= F.col("_edge"))).orderBy(*keys).drop("_rank", "_row", "_edge")
+    order = Window.orderBy(*keys)
+    ranked = df.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= offset + n)
+    if offset:
+        ranked = ranked.withColumn("_row", F.row_number().over(order)).where(F.col("_row") > offset).drop("_row")
+    return ranked.orderBy(*keys).drop("_rank")
 
 
 def top_n(df: DataFrame, partition: list[str], order: list[Column], n: int) -> DataFrame:

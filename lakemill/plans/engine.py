@@ -9,20 +9,25 @@ from __future__ import annotations
 
 import copy
 import itertools
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import grid, statements
+from .bodies import Body
 from .procedures import BodyParser, Procedure, call
 from .sql.lexer import SqlError, Token, tokenize
 from .sql.translate import Translator, literal, quote, text
-from .storage import cut
+from .storage import Store, cut, numbered
 
 _ids = itertools.count()
+_LEVELS, LEVELS = "spark.sql.cteRecursionLevelLimit", 1000
 RID = "_rid"
 
 
@@ -66,10 +71,21 @@ class Table:
         raise SqlError(f"unknown column {name} in {self.name}")
 
 
+@dataclass(frozen=True)
+class View:
+    """sql is its query; for columns of one table or view, perhaps filtered: that one, the columns by name, and the test of its rows."""
+
+    sql: str
+    base: str | None = None
+    columns: tuple[tuple[str, str], ...] = ()
+    where: str | None = None
+    check: bool = False
+
+
 @dataclass
 class State:
     tables: dict[str, Table] = field(default_factory=dict)
-    views: dict[str, tuple[str, str | None]] = field(default_factory=dict)
+    views: dict[str, View] = field(default_factory=dict)
     materialized: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
     sequences: dict[str, tuple[int, int]] = field(default_factory=dict)
     indexes: dict[str, tuple[str, tuple[str, ...], bool]] = field(default_factory=dict)
@@ -90,41 +106,79 @@ class Engine:
         self.procedures: dict[str, Procedure] = {}
         self.log: list[str] = []
         self.prefix = f"lm{next(_ids)}_"
+        self.numbers: dict[tuple[str, str], int] = {}
+        self.drawn: set[str] = set()  # sequences that the statement draws from row by row
+        self.known: dict[tuple, str | None] = {}
+        self.sources: dict[str, str] = {}  # text of functions and procedures, for save()
         self.stack: list[tuple[str | None, State]] = []
 
     # -------------------------------------------------------------- names
 
     def register(self, name: str, df: DataFrame) -> None:
         """A read-only source, such as a Parquet table: no row identity, no copy, full pushdown."""
-        df.createOrReplaceTempView(self.prefix + "src_" + name.lower())
-        self.state.views[name.lower()] = (f"SELECT * FROM {quote(self.prefix + 'src_' + name.lower())}", None)
+        df.createOrReplaceTempView(self.view("src", name.lower()))
+        self.state.views[name.lower()] = View(f"SELECT * FROM {quote(self.view('src', name.lower()))}")
+
+    def view(self, kind: str, key: str) -> str:
+        """The temporary view that stands for a name of any letters."""
+        return f"{self.prefix}{kind}{self.numbers.setdefault((kind, key), len(self.numbers))}"
 
     def relation(self, name: str) -> str:
         key = name.lower()
         if key in self.state.tables:
             table = self.state.tables[key]
-            view = self.prefix + key.replace(".", "_")
+            view = self.view("t", key)
             table.df.select(*[quote(c) for c in table.names()]).createOrReplaceTempView(view)
             return quote(view)
         if key in self.state.views:
-            return f"({self.state.views[key][0]})"
+            return f"({self.state.views[key].sql})"
         if key in self.state.materialized:
-            view = self.prefix + "mv_" + key.replace(".", "_")
+            view = self.view("mv", key)
             self.state.materialized[key][1].createOrReplaceTempView(view)
             return quote(view)
         known = [*self.state.tables, *self.state.views, *self.state.materialized]
         near = [k for k in known if _distance(k, key) <= 2]
-        raise SqlError(f"unknown table {name}" + (f"; did you mean {near[0]}?" if near else ""))
+        raise SqlError(f"unknown table {name}" + (f"; did you mean {near[0]}?" if near else ""), "name")
 
-    def nextval(self, name: str) -> int:
-        if name.lower() not in self.state.sequences:
-            raise SqlError(f"unknown sequence {name}")
-        value, step = self.state.sequences[name.lower()]
-        self.state.sequences[name.lower()] = (value + step, step)
-        return value
+    def nextval(self, name: str, per_row: bool = False) -> str:
+        """The next number as SQL; in a select list, a number for each row, drawn when rows() has counted them."""
+        key = name.lower()
+        if key not in self.state.sequences:
+            raise SqlError(f"unknown sequence {name}", "name")
+        value, step = self.state.sequences[key]
+        if per_row:
+            self.drawn.add(key)
+            return f"({value} + {step} * (row_number() OVER (ORDER BY monotonically_increasing_id()) - 1))"
+        self.state.sequences[key] = (value + step, step)
+        return str(value)
+
+    def rows(self, sql: str) -> DataFrame:
+        """A query's rows; sequences that it draws from move on by their number."""
+        df = self.spark.sql(sql)
+        if self.drawn:
+            df = cut(df)
+            n = df.count()
+            for key in self.drawn:
+                value, step = self.state.sequences[key]
+                self.state.sequences[key] = (value + step * n, step)
+            self.drawn.clear()
+        return df
+
+    def kind(self, x: str, sources: list[str], head: str) -> str | None:
+        """The Spark type of an expression over the innermost FROM clause, or over it and those around it."""
+        key = (x, tuple(sources), head)
+        if key not in self.known:
+            self.known[key] = None
+            for among in ([sources[-1:], sources] if len(sources) > 1 else [sources]):
+                try:
+                    self.known[key] = self.spark.sql(f"{head}SELECT {x} AS v{' FROM ' + ', '.join(among) if among else ''}").schema[0].dataType.simpleString()
+                    break
+                except (AnalysisException, ParseException):
+                    continue  # it does not stand alone there
+        return self.known[key]
 
     def parser(self, sql) -> Translator:
-        return Translator(sql, self.relation, self.variables, self.nextval, self.functions)
+        return Translator(sql, self.relation, self.variables, self.nextval, self.functions, self.kind)
 
     def table(self, name: str) -> Table:
         if name.lower() not in self.state.tables:
@@ -151,6 +205,8 @@ class Engine:
 
     def execute(self, p: Translator, sql: str) -> DataFrame:
         before = self.state.copy()
+        self.known.clear()
+        self.drawn.clear()
         try:
             return self._dispatch(p, sql)
         except SqlError:
@@ -158,14 +214,17 @@ class Engine:
             raise
         except Exception as e:  # Spark's analysis and run-time errors, with its own suggestions of names
             self.state = before
-            raise SqlError(str(e).split("\n\nJVM")[0].split("JVM stacktrace")[0].strip()) from e
+            message = str(e).split("\n\nJVM")[0].split("JVM stacktrace")[0].strip()
+            raise SqlError(message, "name" if "UNRESOLVED" in message else "semantic" if isinstance(e, AnalysisException | ParseException) else "runtime") from e
 
     def _dispatch(self, p: Translator, sql: str) -> DataFrame:
         head = p.peek().upper
         if head in ("SELECT", "WITH", "VALUES") or p.at("("):
+            if any(t.upper == "RECURSIVE" for t in p.t) and int(self.spark.conf.get(_LEVELS)) < LEVELS:
+                self.spark.conf.set(_LEVELS, str(LEVELS))
             out = p.query()
             self._end(p)
-            return self.spark.sql(out)
+            return self.rows(out)
         method = getattr(self, "_" + head.lower(), None)
         if method is None or head not in ("CREATE", "DROP", "ALTER", "INSERT", "REPLACE", "UPDATE", "DELETE", "MERGE", "TRUNCATE", "SHOW", "DESC", "DESCRIBE", "EXPLAIN", "BEGIN", "START", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE", "SET", "CALL"):
             p.fail("unknown statement")
@@ -177,6 +236,55 @@ class Engine:
         if p.peek().kind != "end":
             p.fail("unexpected text after the statement")
 
+    # -------------------------------------------------------------- durability
+
+    def save(self, path: str) -> None:
+        """Write all tables and what is declared about them into a new folder below path, then make it the current one by one rename."""
+        name = f"v-{uuid.uuid4().hex}"
+        state, tables = self.state, {}
+        for k, (key, t) in enumerate(state.tables.items()):
+            t.df.write.parquet(f"{path}/{name}/t{k}")
+            tables[key] = {f: [asdict(x) for x in v] if f in ("columns", "foreign") else v for f, v in t.__dict__.items() if f != "df"} | {"at": f"t{k}"}
+        for k, (_, df) in enumerate(state.materialized.values()):
+            df.write.parquet(f"{path}/{name}/m{k}")
+        about = {
+            "tables": tables, "views": {k: v.__dict__ for k, v in self._portable().items()}, "materialized": {k: [v[0], f"m{n}"] for n, (k, v) in enumerate(state.materialized.items())},
+            "sequences": state.sequences, "indexes": state.indexes, "schemas": sorted(state.schemas), "triggers": state.triggers, "sources": self.sources, "names": {f"{k} {n}": v for (k, n), v in self.numbers.items()}, "prefix": self.prefix,
+        }
+        store = Store(self.spark, path)
+        store.write(f"{name}/about.json", json.dumps(about))
+        store.write(f"{name}.current", name)
+        store.rename(f"{name}.current", "current")
+
+    def _portable(self) -> dict[str, View]:
+        """Views without those over registered sources, which are registered again."""
+        return {k: v for k, v in self.state.views.items() if not any(quote(self.view("src", n)) in v.sql for kind, n in list(self.numbers) if kind == "src")}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Engine:
+        """The engine that was saved last below path."""
+        store, db = Store(spark, path), cls(spark)
+        name = store.read("current")
+        about = json.loads(store.read(f"{name}/about.json"))
+        renamed = lambda sql: sql.replace(about["prefix"], db.prefix)
+        db.numbers = {tuple(k.split(" ", 1)): v for k, v in about["names"].items()}
+        for key, t in about["tables"].items():
+            columns = tuple(Column(**c) for c in t["columns"])
+            foreign = tuple(ForeignKey(tuple(f["columns"]), f["table"], tuple(f["to"]), f["on_delete"], f["on_update"]) for f in t["foreign"])
+            df = spark.read.parquet(f"{path}/{name}/{t['at']}")
+            db.state.tables[key] = Table(t["name"], columns, df, tuple(t["key"]), tuple(map(tuple, t["unique"])), tuple(map(tuple, t["checks"])), foreign)
+            db.relation(key)
+        for key, v in about["views"].items():
+            db.state.views[key] = View(renamed(v["sql"]), v["base"], tuple(map(tuple, v["columns"])), v["where"], v["check"])
+        db.state.materialized = {k: (sql, spark.read.parquet(f"{path}/{name}/{at}")) for k, (sql, at) in about["materialized"].items()}
+        db.state.sequences = {k: tuple(v) for k, v in about["sequences"].items()}
+        db.state.indexes = {k: (t, tuple(c), u) for k, (t, c, u) in about["indexes"].items()}
+        db.state.schemas = set(about["schemas"])
+        db.state.triggers = {k: (t, w, e, [tuple(x) for x in sets]) for k, (t, w, e, sets) in about["triggers"].items()}
+        for sql in about["sources"].values():
+            db.sql(sql)
+        return db
+
     # -------------------------------------------------------------- transactions
 
     def _begin(self, p, sql):
@@ -242,14 +350,18 @@ class Engine:
             if name in self.state.views and not replaced:
                 raise SqlError(f"view {name} exists")
             p.need("AS")
+            base, pairs, where = self._insertable(p)
             body = p.query()
-            check = None
+            check = False
             if p.take("WITH"):
                 p.take("CASCADED") or p.take("LOCAL")
                 p.need("CHECK", "OPTION")
-                check = body
+                check = True
             self.spark.sql(body).schema  # analysed now, planned when used
-            self.state.views[name] = (f"SELECT * FROM ({body}) AS v({', '.join(map(quote, columns))})" if columns else body, check)
+            if columns:
+                pairs = [(c, b) for c, (_, b) in zip(columns, pairs, strict=False)]
+                body = f"SELECT * FROM ({body}) AS v({', '.join(map(quote, columns))})"
+            self.state.views[name] = View(body, base, tuple(pairs), where, check)
             return self.note("CREATE VIEW")
         unique = p.take("UNIQUE")
         if p.take("INDEX"):
@@ -274,45 +386,87 @@ class Engine:
                 start, step = (value, step) if word == "START" else (start, value)
             self.state.sequences[name] = (start, step)
             return self.note("CREATE SEQUENCE")
-        if p.take("FUNCTION"):
-            return self._create_function(p)
-        if p.take("PROCEDURE"):
-            return self._create_procedure(p)
+        if p.at("FUNCTION") or p.at("PROCEDURE"):
+            self.sources[" ".join(t.value.lower() for t in p.t[p.i : p.i + 2])] = sql
+            return self._create_function(p) if p.take("FUNCTION") else self._create_procedure(p) if p.take("PROCEDURE") else None
         if p.take("TRIGGER"):
             return self._create_trigger(p)
         p.fail("cannot create that")
 
     def _create_function(self, p):
-        """A function whose body is one RETURN becomes an expression, in line where it is called."""
+        """A function becomes an expression where it is called: one RETURN in line, a longer body as steps over a struct."""
         name = p.name().upper()
         p.need("(")
-        params = []
+        params: list[tuple[str, str]] = []
         if not p.at(")"):
-            params = p.listed(lambda: f"{p.name()} {p.type_name()}")
+            p.listed(lambda: params.append((p.name().lower(), p.type_name())))
         p.need(")")
         p.need("RETURNS")
         kind = p.type_name()
-        begun = p.take("BEGIN")
-        p.need("RETURN")
-        body = p.expression()
-        p.take(";")
-        if begun:
+        body = BodyParser(p)
+        if p.take("BEGIN"):
+            nodes = body.block("END")
             p.need("END")
-        names = [quote(x.split()[0]) for x in params]
-
-        def call(*args: str) -> str:
-            if len(args) != len(names):
-                raise SqlError(f"{name} takes {len(names)} arguments")
-            out = body
-            for k, n in enumerate(names):
-                out = out.replace(n, f"\0{k}\0")
-            for k, a in enumerate(args):
-                out = out.replace(f"\0{k}\0", a)
-            return Translator.cast(out, kind)
-
-        self.functions[name] = call
+        else:
+            nodes = [body.statement()]
+        p.take(";")
+
+        def inline(caller: Translator, *args: str) -> str:
+            if len(args) != len(params):
+                raise SqlError(f"{name} takes {len(params)} arguments")
+            q = self.parser(list(nodes[0][1]))
+            q.texts = {n: x for (n, _), x in zip(params, args, strict=True)}
+            q.sources, q.head = caller.sources, caller.head
+            out = q.expression()
+            return Translator.cast(out, kind, q.kind(out))
+
+        if len(nodes) == 1 and nodes[0][0] == "return":
+            self.functions[name] = inline
+        else:
+            steps = Body(nodes, params, kind, self.parser)
+            steps.call(*["NULL"] * len(params))  # a wrong body is an error now, not when it is called
+            self.functions[name] = lambda _, *args: steps.call(*args)
         return self.note("CREATE FUNCTION")
 
+    def _insertable(self, p) -> tuple[str | None, list[tuple[str, str]], str | None]:
+        """What a view that begins here takes rows for: a table, (column of the view, its column) pairs, and the rows' test."""
+        q = self.parser(p.t[p.i :])
+        try:
+            q.need("SELECT")
+            every, pairs = q.take("*"), []
+
+            def item() -> None:
+                column = q.dotted().split(".")[-1]
+                named = q.take("AS") or q.peek().kind == "word" and q.peek().upper not in ("FROM", "WHERE")
+                pairs.append((q.name() if named and not q.at(",") else column, column))
+
+            if not every:
+                q.listed(item)
+            q.need("FROM")
+            base = q.dotted().lower()
+            alias = q.alias().removeprefix(" AS ").strip("`") or base.rsplit(".", 1)[-1]
+            own = dict(self.state.views[base].columns) if base in self.state.views else {c: c for c in self.table(base).names()}
+            if not own:
+                q.fail("no columns")
+            pairs = pairs or [(c, c) for c in own]
+            where = None
+            if q.take("WHERE"):  # over the columns of the table below
+                q.sources = [f"{self.relation(base)} AS {quote(alias)}"]
+                q.texts = {c.lower(): quote(self._column_below(base, c)) for c in own}
+                where = q.expression().replace(quote(alias) + ".", "")
+            if not (q.peek().kind == "end" or q.at(";") or q.at("WITH")):
+                q.fail("more than columns of one table")
+            return base, pairs, where
+        except SqlError:
+            return None, [], None
+
+    def _column_below(self, name: str, column: str) -> str:
+        """The table's column that a column of a view, or of a view of a view, shows."""
+        while name in self.state.views:
+            view = self.state.views[name]
+            column, name = {c.lower(): b for c, b in view.columns}[column.lower()], view.base
+        return column
+
     def _create_procedure(self, p):
         name, params = p.name(), []
         p.need("(")
@@ -562,11 +716,11 @@ class Engine:
             row = table.df.agg(*[F.count_if(F.expr(x)).alias(f"t{k}") for k, (_, x) in enumerate(tests)]).first()
             for k, (label, _) in enumerate(tests):
                 if row[k]:
-                    raise SqlError(f"constraint violated: {label} of {table.name}")
+                    raise SqlError(f"constraint violated: {label} of {table.name}", "constraint")
         for columns in ([table.key] if table.key else []) + list(table.unique):
             known = table.df.where(" AND ".join(f"{quote(c)} IS NOT NULL" for c in columns))
             if known.groupBy(*[quote(c) for c in columns]).count().where("count > 1").limit(1).count():
-                raise SqlError(f"constraint violated: unique {', '.join(columns)} of {table.name}")
+                raise SqlError(f"constraint violated: unique {', '.join(columns)} of {table.name}", "constraint")
         for fk in table.foreign:
             parent = self.state.tables.get(fk.table) if fk.table != table.name.lower() else table
             if parent is None:
@@ -574,7 +728,7 @@ class Engine:
             own = table.df.where(" AND ".join(f"{quote(c)} IS NOT NULL" for c in fk.columns)).select(*[F.col(quote(c)).alias(f"k{i}") for i, c in enumerate(fk.columns)])
             keys = parent.df.select(*[F.col(quote(c)).alias(f"k{i}") for i, c in enumerate(fk.to)])
             if own.join(keys, [f"k{i}" for i in range(len(fk.to))], "left_anti").limit(1).count():
-                raise SqlError(f"constraint violated: foreign key {', '.join(fk.columns)} of {table.name}")
+                raise SqlError(f"constraint violated: foreign key {', '.join(fk.columns)} of {table.name}", "constraint")
 
     def _follow(self, child: Table, fk: ForeignKey, before: Table, after: Table) -> None:
         """What a change of a parent does to the rows that point at it."""
@@ -590,7 +744,7 @@ class Engine:
         if not kinds["gone"] and not kinds["moved"]:
             return
         if kinds["gone"] and fk.on_delete == "RESTRICT" or kinds["moved"] and fk.on_update == "RESTRICT":
-            raise SqlError(f"constraint violated: {child.name} refers to {after.name}")
+            raise SqlError(f"constraint violated: {child.name} refers to {after.name}", "constraint")
         gone = F.col("_hit") & F.col("_alive").isNull()
         if fk.on_delete == "CASCADE":
             hit = hit.where(~gone)
@@ -614,13 +768,25 @@ class Engine:
             return self.note(count)
         view = self.prefix + "returning"
         rows.select(*[quote(c) for c in table.names()]).createOrReplaceTempView(view)
-        items = ", ".join(p.listed(p.item))
+        p.sources = [f"{quote(view)} AS {quote(table.name.rsplit('.', 1)[-1])}"]
+        found: list[tuple[str, str | None]] = []
+        p.listed(lambda: found.append(p.item()))
+        items = ", ".join(f"{x} AS {quote(n)}" if n else x for x, n in found)
         self._end(p)
         return self.spark.sql(f"SELECT {items} FROM {quote(view)} AS {quote(table.name.rsplit('.', 1)[-1])}")
 
-    def _source(self, p, table: Table) -> tuple[list[str], DataFrame]:
-        """Columns and rows that an INSERT or REPLACE gives."""
-        columns = [table.column(c).name for c in p.columns()] if p.at("(") and p.peek(1).upper not in ("SELECT", "WITH") else table.names()
+    def _source(self, p, table: Table, view: dict[str, str] | None = None) -> tuple[list[str], DataFrame]:
+        """Columns and rows that an INSERT or REPLACE gives; through a view, by the view's columns."""
+
+        def named(c: str) -> str:
+            if view is not None and c.lower() not in view:
+                raise SqlError(f"unknown column {c}", "name")
+            return table.column(view[c.lower()] if view is not None else c).name
+
+        if p.at("(") and p.peek(1).upper not in ("SELECT", "WITH"):
+            columns = [named(c) for c in p.columns()]
+        else:
+            columns = [named(c) for c in view] if view is not None else table.names()
         if p.take("DEFAULT", "VALUES"):
             return [], self.spark.range(1).select()
         if p.at("VALUES"):
@@ -645,22 +811,21 @@ class Engine:
             body = "VALUES " + ", ".join(p.listed(row))
         else:
             body = p.query()
-        df = self.spark.sql(body)
+        df = self.rows(body)
         if len(df.columns) != len(columns):
             raise SqlError(f"{len(columns)} columns expected, {len(df.columns)} given")
         return columns, df.toDF(*[f"v{k}" for k in range(len(columns))])
 
-    def _rows(self, table: Table, columns: list[str], df: DataFrame) -> DataFrame:
-        """Given values as full rows: casts, defaults, the next numbers, and new row identities."""
+    def _rows(self, table: Table, columns: list[str], df: DataFrame, turns: tuple[str, ...] = ()) -> DataFrame:
+        """Given values as full rows: casts, defaults, the next numbers, and new row identities.
+
+        With ``turns``, a column _turn tells how many rows of the same key were given up to this one.
+        """
         out = []
         given = {c: f"v{k}" for k, c in enumerate(columns)}
         auto = [c for c in table.columns if c.auto]
         base = table.df.agg(*[F.coalesce(F.max(quote(c.name)), F.lit(0)) for c in auto]).first() if auto else []
-        df = df.withColumn("_n", F.monotonically_increasing_id())
-        if auto:
-            from pyspark.sql import Window
-
-            df = df.withColumn("_n", F.row_number().over(Window.orderBy("_n")))
+        df = numbered(df, "_n") if auto else df.withColumn("_n", F.monotonically_increasing_id())
         for c in table.columns:
             if c.name in given:
                 x = F.expr(Translator.cast(given[c.name], c.type) if c.type != "BOOLEAN" else f"coalesce(try_cast({given[c.name]} AS BOOLEAN), try_cast({given[c.name]} AS INT) <> 0)")
@@ -669,23 +834,32 @@ class Engine:
             if c.auto:
                 x = F.when(x.isNull() | (x == 0), F.col("_n") + base[auto.index(c)]).otherwise(x)
             out.append(x.cast(c.type).alias(c.name))
-        made = df.select(F.expr("uuid()").alias(RID), F.struct(*out).alias("NEW"))
-        return cut(self._fire(table, "INSERT", made).select(RID, "NEW.*"))
+        made = df.select(F.expr("uuid()").alias(RID), "_n", F.struct(*out).alias("NEW"))
+        rows = self._fire(table, "INSERT", made).select(RID, "_n", "NEW.*")
+        if not turns:
+            return cut(rows.drop("_n"))
+        return cut(rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*[quote(c) for c in turns]).orderBy("_n"))).drop("_n"))
 
     def _insert(self, p, sql):
         p.need("INTO")
-        name = p.dotted()
-        check = None
-        if name.lower() in self.state.views:
-            source, check = self.state.views[name.lower()]
-            name = next((t for t in self.state.tables if quote(self.prefix + t.replace(".", "_")) in source), name)
+        name, columns, tests, checked = p.dotted().lower(), None, [], False
+        while name in self.state.views:  # a view of a view checks, if it does, the tests of those below it too
+            view = self.state.views[name]
+            if view.base is None:
+                raise SqlError(f"{name} takes no rows")
+            own = {c.lower(): b for c, b in view.columns}
+            columns = own if columns is None else {c: own[b.lower()] for c, b in columns.items()}
+            checked |= view.check
+            tests += [view.where] if checked and view.where else []
+            name = view.base
         table = self.table(name)
-        rows = self._rows(table, *self._source(p, table))
-        if check is not None:
-            where = check.split(" WHERE ", 1)[1] if " WHERE " in check else "true"
-            if rows.where(f"NOT coalesce({where}, false)").limit(1).count():
-                raise SqlError("a row does not meet the view's check option")
-        if p.take("ON", "DUPLICATE", "KEY", "UPDATE"):
+        given, df = self._source(p, table, columns)
+        upsert = p.take("ON", "DUPLICATE", "KEY", "UPDATE")
+        rows = self._rows(table, given, df, table.key if upsert else ())
+        for test in tests:
+            if rows.where(f"NOT coalesce({test}, false)").limit(1).count():
+                raise SqlError("a row does not meet the view's check option", "constraint")
+        if upsert:
             return self._upsert(p, table, rows)
         self._change(replace(table, df=table.df.unionByName(rows)))
         count = rows.count()
@@ -693,26 +867,33 @@ class Engine:
         return self._returning(p, table, rows, f"INSERT {count}")
 
     def _upsert(self, p, table: Table, rows: DataFrame) -> DataFrame:
-        """Rows whose key exists update it; VALUES(c) is the given value."""
-        self.functions["VALUES"] = lambda c: "s." + c.rsplit(".", 1)[-1]
+        """Rows whose key exists update it; VALUES(c) is the given value. Rows of one key follow each other in turns."""
+        self.functions["VALUES"] = lambda _, c: "s." + c.rsplit(".", 1)[-1]
         sets = dict(self._assignments(p, table))
         del self.functions["VALUES"]
         on = [F.col(f"t.{quote(k)}") == F.col(f"s.{quote(k)}") for k in table.key]
-        both = table.df.alias("t").join(rows.alias("s"), on, "full")
         hit = f"t.{RID} IS NOT NULL AND s.{RID} IS NOT NULL"
         out = [F.expr(f"coalesce(t.{RID}, s.{RID})").alias(RID)]
         for c in table.columns:
             q = quote(c.name)
             changed = _qualify(sets[c.name], table, "t") if c.name in sets else f"t.{q}"
             out.append(F.expr(f"CASE WHEN {hit} THEN {changed} WHEN t.{RID} IS NULL THEN s.{q} ELSE t.{q} END").cast(c.type).alias(c.name))
-        self._change(replace(table, df=both.select(*out)))
+        df = table.df
+        for turn in range(1, (rows.agg(F.max("_turn")).first()[0] or 0) + 1):
+            both = df.alias("t").join(rows.where(F.col("_turn") == turn).alias("s"), on, "full").select(*out)
+            df = both if turn == 1 else cut(both)
+        self._change(replace(table, df=df))
         self._end(p)
         return self.note(f"UPSERT {rows.count()}")
 
     def _replace(self, p, sql):
         p.take("INTO")
         table = self.table(p.dotted())
-        rows = self._rows(table, *self._source(p, table))
+        given, df = self._source(p, table)
+        rows = self._rows(table, given, df, table.key)
+        if table.key:  # of several rows of one key the last stays
+            last = rows.groupBy(*[quote(c) for c in table.key]).agg(F.max("_turn").alias("_last"))
+            rows = rows.join(last, list(table.key)).where("_turn = _last").select(*table.df.columns)
         kept = table.df
         for columns in ([table.key] if table.key else []) + list(table.unique):
             kept = kept.join(rows.select(*[quote(c) for c in columns]), [quote(c).strip("`") for c in columns], "left_anti")
@@ -732,7 +913,7 @@ class Engine:
 
     def _scope(self, table: Table, alias: str) -> str:
         """The table with its row identity, as SQL."""
-        view = self.prefix + "rid_" + table.name.lower().replace(".", "_")
+        view = self.view("rid", table.name.lower())
         table.df.createOrReplaceTempView(view)
         return f"{quote(view)} AS {quote(alias)}"
 
@@ -740,6 +921,7 @@ class Engine:
         table = self.table(p.dotted())
         alias = p.alias().removeprefix(" AS ").strip("`") or table.name.rsplit(".", 1)[-1]
         p.need("SET")
+        p.sources = [self._scope(table, alias)]
         sets = self._assignments(p, table)
         sources = ", " + p.tables() if p.take("FROM") else ""
         where = p.expression() if p.take("WHERE") else "true"
@@ -763,6 +945,7 @@ class Engine:
         p.need("FROM")
         table = self.table(p.dotted())
         alias = p.alias().removeprefix(" AS ").strip("`") or table.name.rsplit(".", 1)[-1]
+        p.sources = [self._scope(table, alias)]
         where = p.expression() if p.take("WHERE") else "true"
         hits = cut(self.spark.sql(f"SELECT {quote(alias)}.* FROM {self._scope(table, alias)} WHERE {where}"))
         self._change(replace(table, df=table.df.join(hits.select(RID), RID, "left_anti")))
@@ -782,6 +965,7 @@ class Engine:
         alias = p.alias().removeprefix(" AS ").strip("`") or table.name.rsplit(".", 1)[-1]
         p.need("USING")
         source = p.table()
+        p.sources = [f"{self._scope(table, alias)}, {source}"]
         p.need("ON")
         on = p.expression()
         sets: list[tuple[str, str]] = []
@@ -825,18 +1009,29 @@ class Engine:
     # -------------------------------------------------------------- meta
 
     def _explain(self, p, sql):
-        """The optimised and physical plan; ANALYZE runs the query and adds its rows and seconds."""
-        analyze = p.take("ANALYZE")
+        """The plan as text, JSON or an S-expression; ANALYZE runs the query and gives the rows and times of each node."""
+        analyze, form = p.take("ANALYZE"), "TEXT"
         if p.take("FORMAT"):
-            p.name()
+            p.take("=")
+            form = p.name().upper()
         df = self.spark.sql(p.query())
-        plan = df._jdf.queryExecution().toString()
-        if analyze:
-            import time
-
-            began = time.perf_counter()
-            plan += f"\nrows: {df.count()}, seconds: {time.perf_counter() - began:.3f}"
-        return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "plan string")
+        self._end(p)
+        execution = df._jdf.queryExecution()
+        if not analyze and form == "TEXT":
+            lines = execution.toString().splitlines()
+        else:
+            if analyze:
+                execution.toRdd().count()
+            tree = plan_tree(execution.executedPlan(), analyze)
+            if form == "JSON":
+                lines = json.dumps(tree, indent=2, ensure_ascii=False).splitlines()
+            elif form == "SEXPR":
+                lines = [sexpr(tree)]
+            elif form == "TEXT":
+                lines = ["== Physical Plan ==", *outline(tree)]
+            else:
+                raise SqlError(f"unknown format {form}", "syntax")
+        return self.spark.createDataFrame([(line,) for line in lines], "plan string")
 
     def _show(self, p, sql):
         if p.take("TABLES"):
@@ -863,6 +1058,40 @@ class Engine:
     _describe = _desc
 
 
+def plan_tree(node, measured: bool) -> dict:
+    """A physical plan as nested dictionaries; stages and adaptive plans are seen through."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return plan_tree(node.executedPlan(), measured)
+    if kind.endswith("QueryStageExec"):
+        return plan_tree(node.plan(), measured)
+    children = node.children()
+    below = [plan_tree(children.apply(k), measured) for k in range(children.size())]
+    if kind in ("WholeStageCodegenExec", "InputAdapter"):
+        return below[0]
+    out: dict = {"node": node.nodeName().strip(), "detail": node.simpleString(25)}
+    if measured:
+        for name, key in (("numOutputRows", "rows"), ("sortTime", "sort ms"), ("aggTime", "aggregate ms"), ("scanTime", "scan ms"), ("buildTime", "build ms"), ("shuffleBytesWritten", "shuffled bytes"), ("spillSize", "spilled bytes")):
+            metric = node.metrics().get(name)
+            if metric.isDefined():
+                out[key] = int(metric.get().value())
+    return out | {"children": below}
+
+
+def _figures(tree: dict) -> dict:
+    return {k: v for k, v in tree.items() if k not in ("node", "detail", "children")}
+
+
+def outline(tree: dict, depth: int = 0) -> list[str]:
+    figures = ", ".join(f"{k}: {v}" for k, v in _figures(tree).items())
+    return ["  " * depth + tree["detail"] + (f"  ({figures})" if figures else ""), *(line for c in tree["children"] for line in outline(c, depth + 1))]
+
+
+def sexpr(tree: dict) -> str:
+    parts = [tree["node"].replace(" ", "_"), *(f":{k.replace(' ', '-')} {v}" for k, v in _figures(tree).items()), *map(sexpr, tree["children"])]
+    return f"({' '.join(parts)})"
+
+
 def _qualify(expression: str, table: Table, alias: str) -> str:
     """Bare columns of the table as columns of alias."""
     import re

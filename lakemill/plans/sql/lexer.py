@@ -7,7 +7,11 @@ from dataclasses import dataclass
 
 
 class SqlError(Exception):
-    """An error of a statement, with its place where that is known."""
+    """An error of a statement: its kind (syntax, name, semantic, constraint, runtime), and its line and column where they are known."""
+
+    def __init__(self, message: str, kind: str = "semantic", line: int | None = None, column: int | None = None) -> None:
+        super().__init__(message)
+        self.kind, self.line, self.column = kind, line, column
 
 
 @dataclass
@@ -15,6 +19,8 @@ class Token:
     kind: str  # word, name (quoted), text, number, op, end
     value: str
     at: int
+    line: int = 0
+    column: int = 0
 
     @property
     def upper(self) -> str:
@@ -38,18 +44,16 @@ def unquote(raw: str) -> str:
 
 
 def tokenize(sql: str) -> list[Token]:
-    out, at = [], 0
+    out, at, line, begin = [], 0, 1, 0
     while at < len(sql):
         m = _TOKEN.match(sql, at)
+        place = line, at - begin + 1
         if m is None:
-            line = sql.count("\n", 0, at) + 1
-            raise SqlError(f"syntax error at line {line}: unexpected {sql[at]!r}")
+            raise SqlError(f"syntax error at line {line}, column {place[1]}: unexpected {sql[at]!r}", "syntax", *place)
         kind = m.lastgroup
-        if kind == "text":
-            out.append(Token("text", unquote(m[0]), at))
-        elif kind == "name":
-            out.append(Token("name", m[0][1:-1], at))
-        elif kind != "skip":
-            out.append(Token(kind, m[0], at))
+        if kind != "skip":
+            out.append(Token(kind, unquote(m[0]) if kind == "text" else m[0][1:-1] if kind == "name" else m[0], at, *place))
+        if breaks := m[0].count("\n"):
+            line, begin = line + breaks, at + m[0].rindex("\n") + 1
         at = m.end()
-    return [*out, Token("end", "", len(sql))]
+    return [*out, Token("end", "", len(sql), line, len(sql) - begin + 1)]

@@ -7,11 +7,14 @@ so Catalyst plans and optimises the result like any other query.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from .lexer import SqlError, Token, tokenize
 
 _INT = "('tinyint','smallint','int','bigint')"
+_INTS = {"tinyint", "smallint", "int", "bigint"}
+_LONG = 60  # characters; a longer operand is written once and bound to a name
 _STOP = set("FROM WHERE GROUP HAVING ORDER LIMIT OFFSET FETCH UNION INTERSECT EXCEPT ON USING JOIN INNER LEFT RIGHT FULL CROSS NATURAL LATERAL WINDOW AS SET VALUES WHEN THEN ELSE END AND OR NOT IN IS LIKE ILIKE BETWEEN RLIKE REGEXP SIMILAR ESCAPE ASC DESC NULLS FOR RETURNING DO BEGIN QUALIFY WITH SELECT FILTER OVER WITHIN ROWS RANGE PRECEDING FOLLOWING CASE".split())
 _TYPES = {"INT": "INT", "INTEGER": "INT", "SMALLINT": "INT", "TINYINT": "INT", "BIGINT": "BIGINT", "SERIAL": "INT", "BOOLEAN": "BOOLEAN", "BOOL": "BOOLEAN", "FLOAT": "DOUBLE", "DOUBLE": "DOUBLE", "REAL": "DOUBLE", "DECIMAL": "DECIMAL", "NUMERIC": "DECIMAL", "VARCHAR": "STRING", "CHAR": "STRING", "TEXT": "STRING", "STRING": "STRING", "DATE": "DATE", "TIMESTAMP": "TIMESTAMP_NTZ", "DATETIME": "TIMESTAMP_NTZ", "TIME": "STRING", "JSON": "STRING", "UUID": "STRING"}
 
@@ -24,12 +27,32 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_fresh = itertools.count()
+
+
+def bound(template: str, *operands: str) -> str:
+    """The template ({0}, {1}, ...) over operands; if one of them is long, each is evaluated and written once."""
+    if all(len(x) <= _LONG for x in operands):
+        return template.format(*operands)
+    v = f"v{next(_fresh)}"
+    fields = ", ".join(f"'a{k}', {x}" for k, x in enumerate(operands))
+    return f"transform(array(named_struct({fields})), {v} -> {template.format(*[f'{v}.a{k}' for k in range(len(operands))])})[0]"
+
+
 def _trunc(x: str, n: str) -> str:
-    return f"(CASE WHEN {x} < 0 THEN ceil({x} * power(10, {n})) ELSE floor({x} * power(10, {n})) END / power(10, {n}))"
+    return bound(f"(CASE WHEN {{0}} < 0 THEN ceil({{0}} * power(10, {n})) ELSE floor({{0}} * power(10, {n})) END / power(10, {n}))", x)
 
 
 def _strict(f: str) -> Callable[..., str]:
-    return lambda *a: f"(CASE WHEN {' OR '.join(f'{x} IS NULL' for x in a)} THEN NULL ELSE {f}({', '.join(a)}) END)"
+    def call(*a: str) -> str:
+        names = [f"{{{k}}}" for k in range(len(a))]
+        return bound(f"(CASE WHEN {' OR '.join(f'{x} IS NULL' for x in names)} THEN NULL ELSE {f}({', '.join(names)}) END)", *a)
+
+    return call
+
+
+def _domain(f: str, test: str) -> Callable[[str], str]:
+    return lambda x: bound(f"(CASE WHEN {{0}} {test} THEN {f}({{0}}) END)", x)
 
 
 # Functions whose name or meaning differs from Spark's.
@@ -51,32 +74,42 @@ FUNCTIONS: dict[str, Callable[..., str]] = {
     "CEIL": lambda x: f"CAST(ceil({x}) AS BIGINT)",
     "FLOOR": lambda x: f"CAST(floor({x}) AS BIGINT)",
     "TRUNC": lambda x, n="0": f"CAST({_trunc(x, n)} AS BIGINT)" if n == "0" else _trunc(x, n),
-    "MOD": lambda a, b: f"CAST({a} - floor({a} / nullif({b}, 0)) * {b} AS BIGINT)",
-    "SQRT": lambda x: f"(CASE WHEN {x} >= 0 THEN sqrt({x}) END)",
-    "LN": lambda x: f"(CASE WHEN {x} > 0 THEN ln({x}) END)",
-    "LOG": lambda a, b=None: f"log({a}, {b})" if b else f"(CASE WHEN {a} > 0 THEN ln({a}) END)",
-    "LOG10": lambda x: f"(CASE WHEN {x} > 0 THEN log10({x}) END)",
+    "MOD": lambda a, b: bound("CAST({0} - floor({0} / nullif({1}, 0)) * {1} AS BIGINT)", a, b),
+    "SQRT": _domain("sqrt", ">= 0"),
+    "LN": _domain("ln", "> 0"),
+    "LOG": lambda a, b=None: f"log({a}, {b})" if b else _domain("ln", "> 0")(a),
+    "LOG10": _domain("log10", "> 0"),
     "SIGN": lambda x: f"CAST(sign({x}) AS INT)",
     "GREATEST": _strict("greatest"),
     "LEAST": _strict("least"),
-    "TYPEOF": lambda x: f"(CASE WHEN {x} IS NULL THEN 'NULL' WHEN typeof({x}) IN ('tinyint','smallint','int','bigint','boolean') THEN 'INTEGER' WHEN typeof({x}) IN ('float','double') THEN 'FLOAT' ELSE 'VARCHAR' END)",
+    "TYPEOF": lambda x: bound("(CASE WHEN {0} IS NULL THEN 'NULL' WHEN typeof({0}) IN ('tinyint','smallint','int','bigint','boolean') THEN 'INTEGER' WHEN typeof({0}) IN ('float','double') THEN 'FLOAT' ELSE 'VARCHAR' END)", x),
     "NOW": lambda: "localtimestamp()",
     "RANDOM": lambda: "rand()",
     "VARIANCE": lambda x: f"var_samp({x})",
     "STDDEV": lambda x: f"stddev_samp({x})",
-    "SUM": lambda x: f"sum({x})",
 }
 for _a, _b in (("CEILING", "CEIL"), ("SUBSTRING", "SUBSTR"), ("TRUNCATE", "TRUNC")):
     FUNCTIONS[_a] = FUNCTIONS[_b]
 
 
 class Translator:
-    """Translates one statement's queries; ``names`` maps a table name to what Spark knows it by."""
+    """Translates one statement's queries; ``names`` maps a table name to what Spark knows it by.
+
+    ``kinds(expression, sources, head)`` tells an expression's Spark type among the FROM clauses it stands in, or None.
+    """
 
-    def __init__(self, tokens: list[Token] | str, names: Callable[[str], str] = quote, variables: dict | None = None, sequence: Callable[[str], int] | None = None, functions: dict | None = None) -> None:
+    def __init__(self, tokens: list[Token] | str, names: Callable[[str], str] = quote, variables: dict | None = None, sequence: Callable[[str, bool], str] | None = None, functions: dict | None = None, kinds: Callable[[str, list[str], str], str | None] | None = None) -> None:
         self.t = tokenize(tokens) if isinstance(tokens, str) else tokens
         self.i, self.names, self.ctes = 0, names, [set()]
         self.locals: dict = {}  # variables of a procedure, by name
+        self.texts: dict[str, str] = {}  # parameters of a function, as SQL
+        self.kinds, self.sources, self.head = kinds, [], ""
+        self.plain = False  # a part of a filter, where null is as good as false
+        self.per_row = False  # in the select list of a query with FROM
+        self.rows: set[str] = set()  # row values (a, b)
+        self.windows: dict[str, str] = {}
+        self.parts: list[tuple[str, str | None]] = []  # items of the last select, and their names
+        self.single = False  # the last set expression was one select without DISTINCT
         self.variables, self.sequence, self.functions = variables if variables is not None else {}, sequence, functions if functions is not None else {}
 
     # -------------------------------------------------------------- tokens
@@ -99,7 +132,7 @@ class Translator:
 
     def fail(self, why: str) -> None:
         t = self.peek()
-        raise SqlError(f"syntax error near {t.value or 'the end'!r} (at {t.at}): {why}")
+        raise SqlError(f"syntax error at line {t.line}, column {t.column}, near {t.value or 'the end'!r}: {why}", "syntax", t.line, t.column)
 
     def name(self) -> str:
         t = self.peek()
@@ -123,7 +156,7 @@ class Translator:
     # -------------------------------------------------------------- queries
 
     def query(self) -> str:
-        head = ""
+        head, outer = "", self.head
         self.ctes.append(set(self.ctes[-1]))
         if self.take("WITH"):
             recursive = self.take("RECURSIVE")
@@ -138,11 +171,13 @@ class Translator:
                 parts.append(f"{quote(cte)}{columns} AS ({self.query()})")
                 self.need(")")
                 self.ctes[-1].add(cte.lower())
+                self.head = (outer.rstrip() + ", " if outer else f"WITH {'RECURSIVE ' * recursive}") + ", ".join(parts) + " "
                 if not self.take(","):
                     break
             head = f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} "
-        out = head + self.set_expression() + self.tail()
+        out = head + self.tail(self.set_expression())
         self.ctes.pop()
+        self.head = outer
         return out
 
     def columns(self) -> list[str]:
@@ -155,10 +190,12 @@ class Translator:
         """UNION and EXCEPT from the left; INTERSECT binds tighter."""
         out = self.set_term()
         while self.at("UNION") or self.at("EXCEPT"):
+            self.single = False
             op = self.name().upper()
             every = self.take("ALL")
             self.take("DISTINCT")
             out = f"{out} {op}{' ALL' * every} {self.set_term()}"
+            self.single = False
         return out
 
     def set_term(self) -> str:
@@ -166,19 +203,23 @@ class Translator:
         while self.take("INTERSECT"):
             every = self.take("ALL")
             out = f"({out} INTERSECT{' ALL' * every} {self.set_operand()})"
+            self.single = False
         return out
 
     def set_operand(self) -> str:
         if self.take("("):
             out = self.query()
             self.need(")")
+            self.single = False
             return f"({out})"
         if self.at("VALUES"):
+            self.single = False
             return self.values()
         return self.select()
 
     def values(self) -> str:
         self.need("VALUES")
+        self.per_row = False
 
         def row() -> str:
             self.need("(")
@@ -188,23 +229,54 @@ class Translator:
 
         return "VALUES " + ", ".join(self.listed(row))
 
-    def order_keys(self) -> str:
-        def key() -> str:
+    def keys(self) -> list[tuple[str, str]]:
+        """ORDER BY: (expression, direction) of each key."""
+
+        def key() -> tuple[str, str]:
             x = self.expression()
             way = "DESC" if self.take("DESC") else "ASC"
             self.take("ASC")
             nulls = "LAST"
             if self.take("NULLS"):
                 nulls = "FIRST" if self.take("FIRST") else (self.need("LAST") or "LAST")
-            return f"{x} {way} NULLS {nulls}"
+            return x, f"{way} NULLS {nulls}"
 
-        return ", ".join(self.listed(key))
+        return self.listed(key)
+
+    def order_keys(self) -> str:
+        return ", ".join(f"{x} {way}" for x, way in self.keys())
+
+    def tied(self, body: str, keys: list[tuple[str, str]], limit: str, offset: str | None) -> str:
+        """FETCH ... WITH TIES: rows by rank. Spark keeps only so many ranks of each partition before it brings them together."""
+        if not keys:
+            self.fail("WITH TIES needs ORDER BY")
+        parts = self.parts if self.single else []
+        named = {quote(n): x for x, n in parts if n}
+
+        def key(x: str) -> str:
+            if x.isdigit():
+                if not 0 < int(x) <= len(parts) or parts[int(x) - 1][0].endswith("*"):
+                    self.fail(f"WITH TIES cannot order by position {x} here")
+                return parts[int(x) - 1][0]
+            return named.get(x, x)
+
+        order = ", ".join(f"{key(x)} {way}" for x, way in keys)
+        extra = f"rank() OVER (ORDER BY {order}) AS lm_rank, row_number() OVER (ORDER BY {order}) AS lm_row"
+        if self.single:
+            items = ", ".join(f"{x} AS {quote(n)}" if n else x for x, n in parts)
+            inner = f"SELECT {items}, {extra}{body.removeprefix('SELECT ' + items)}"
+        else:
+            inner = f"SELECT *, {extra} FROM ({body})"
+        last = f"{offset} + {limit}" if offset else limit
+        return f"SELECT * EXCEPT (lm_rank, lm_row) FROM ({inner}) WHERE lm_rank <= {last}" + (f" AND lm_row > {offset}" if offset else "") + " ORDER BY lm_row"
 
-    def tail(self) -> str:
+    def tail(self, body: str) -> str:
         """ORDER BY, LIMIT, OFFSET, FETCH, and lock hints, which mean nothing here."""
-        out, limit, offset = "", None, None
+        single, parts = self.single, self.parts
+        out, limit, offset, ties, keys = "", None, None, False, []
         if self.take("ORDER", "BY"):
-            out += " ORDER BY " + self.order_keys()
+            keys = self.keys()
+            out += " ORDER BY " + ", ".join(f"{x} {way}" for x, way in keys)
         while True:
             if self.take("LIMIT"):
                 limit = self.expression()
@@ -217,41 +289,86 @@ class Translator:
                 self.take("FIRST") or self.take("NEXT")
                 limit = "1" if self.at("ROW") or self.at("ROWS") else self.expression()
                 self.take("ROWS") or self.take("ROW")
-                if self.take("WITH", "TIES"):
-                    raise SqlError("WITH TIES: use lakemill.operators.relational.fetch(ties=True)")
-                self.need("ONLY")
+                ties = self.take("WITH", "TIES")
+                if not ties:
+                    self.need("ONLY")
             elif self.take("FOR"):
                 self.name()
                 while self.peek().kind == "word" and not self.at(")"):
                     self.i += 1
             else:
                 break
+        if ties:
+            self.single, self.parts = single, parts
+            return self.tied(body, keys, limit, offset)
         if limit is not None:
             out += f" LIMIT {limit}"
         if offset is not None:
             out += f" OFFSET {offset}"
+        return body + out
+
+    def clause(self, word: str) -> int | None:
+        """Where a clause of the select that begins here stands, if it has one."""
+        depth, k = 0, self.i
+        while (t := self.t[k]).kind != "end":
+            if t.kind == "op":
+                depth += (t.value == "(") - (t.value == ")")
+            if depth < 0 or depth == 0 and (t.upper in ("UNION", "INTERSECT", "EXCEPT", "ORDER", "LIMIT", "FETCH", "RETURNING") or t.kind == "op" and t.value == ";"):
+                return None
+            if depth == 0 and t.upper == word:
+                return k
+            k += 1
+        return None
+
+    def filter(self) -> str:
+        before, self.plain = self.plain, True
+        out = self.expression()
+        self.plain = before
         return out
 
     def select(self) -> str:
+        """The FROM and WINDOW clauses are read first, as what stands before them depends on them."""
         self.need("SELECT")
         distinct = self.take("DISTINCT")
         self.take("ALL")
-        out = "SELECT " + "DISTINCT " * distinct + ", ".join(self.listed(self.item))
-        if self.take("FROM"):
-            out += " FROM " + self.tables()
+        before = self.plain, self.per_row, self.windows
+        self.plain, self.windows = False, dict(self.windows)
+        begin, sources, after, own = self.i, "", None, len(self.sources)
+        if (at := self.clause("FROM")) is not None:
+            self.i = at + 1
+            sources, after = self.tables(), self.i
+            self.sources.append(sources)
+        self.per_row = after is not None
+        if (at := self.clause("WINDOW")) is not None:
+            self.i = at + 1
+
+            def window() -> None:
+                n = self.name().lower()
+                self.need("AS")
+                self.windows[n] = self.window_spec()
+
+            self.listed(window)
+        window_end, self.i = self.i, begin
+        self.parts = []
+        found: list[tuple[str, str | None]] = []
+        self.listed(lambda: found.append(self.item()))
+        items = ", ".join(f"{x} AS {quote(n)}" if n else x for x, n in found)
+        out = "SELECT " + "DISTINCT " * distinct + items
+        self.per_row = False
+        if after is not None:
+            self.i = after
+            out += " FROM " + sources
         if self.take("WHERE"):
-            out += " WHERE " + self.expression()
+            out += " WHERE " + self.filter()
         if self.take("GROUP", "BY"):
             out += " GROUP BY " + ", ".join(self.listed(self.group))
         if self.take("HAVING"):
-            out += " HAVING " + self.expression()
-        if self.take("WINDOW"):
-            def window() -> str:
-                n = self.name()
-                self.need("AS")
-                return f"{quote(n)} AS {self.window_spec()}"
-
-            out += " WINDOW " + ", ".join(self.listed(window))
+            out += " HAVING " + self.filter()
+        if self.at("WINDOW"):
+            self.i = window_end
+        del self.sources[own:]
+        self.plain, self.per_row, self.windows = before
+        self.parts, self.single = found, not distinct
         return out
 
     def group(self) -> str:
@@ -271,21 +388,18 @@ class Translator:
                 return f"{' '.join(words)} ({', '.join(inner)})"
         return self.expression()
 
-    def item(self) -> str:
+    def item(self) -> tuple[str, str | None]:
+        """An expression of a select list, and its name if it has one."""
         if self.take("*"):
-            return "*"
+            return "*", None
         if self.peek().kind in ("word", "name") and self.peek(1).value == "." and self.peek(2).value == "*" and self.peek(2).kind == "op":
             n = self.name()
             self.i += 2
-            return f"{quote(n)}.*"
-        start = self.peek().at
+            return f"{quote(n)}.*", None
         x = self.expression()
-        if self.take("AS"):
-            return f"{x} AS {quote(self.name())}"
-        if self.peek().kind == "name" or self.peek().kind == "word" and self.peek().upper not in _STOP:
-            return f"{x} AS {quote(self.name())}"
-        del start
-        return x
+        if self.take("AS") or self.peek().kind == "name" or self.peek().kind == "word" and self.peek().upper not in _STOP:
+            return x, self.name()
+        return x, None
 
     def alias(self) -> str:
         self.take("AS")
@@ -326,7 +440,9 @@ class Translator:
                 return out
             out += " " + " ".join([*words, "JOIN"]) + " " + self.table()
             if self.take("ON"):
-                out += " ON " + self.expression()
+                self.sources.append(out)
+                out += " ON " + self.filter()
+                self.sources.pop()
             elif self.take("USING"):
                 out += f" USING ({', '.join(quote(c) for c in self.columns())})"
 
@@ -345,7 +461,12 @@ class Translator:
         return out
 
     def negation(self) -> str:
-        return f"(NOT {self.negation()})" if self.take("NOT") else self.predicate()
+        if not self.take("NOT"):
+            return self.predicate()
+        before, self.plain = self.plain, False
+        out = f"(NOT {self.negation()})"
+        self.plain = before
+        return out
 
     def subquery(self) -> str:
         self.need("(")
@@ -354,7 +475,12 @@ class Translator:
         return out
 
     def predicate(self) -> str:
+        begin = self.i
         x = self.sum()
+        if self.plain and (self.at("IS") or self.peek().kind == "op" and self.peek().value in ("=", "<>", "!=", "<=>")):
+            self.plain, self.i = False, begin  # here null and false differ
+            x = self.sum()
+            self.plain = True
         while True:
             t = self.peek()
             if t.kind == "op" and t.value in ("=", "<>", "!=", "<", "<=", ">", ">=", "<=>"):
@@ -380,7 +506,10 @@ class Translator:
                 x = f"({no}({x} BETWEEN {a} AND {self.sum()}))"
             elif self.take("IN"):
                 if self.peek(1).upper in ("SELECT", "WITH", "VALUES") and self.at("("):
-                    x = f"({x} {no}IN ({self.subquery()}))"
+                    if self.plain or x in self.rows:
+                        x = f"({x} {no}IN ({self.subquery()}))"
+                    else:
+                        x = f"({no}{self.among(x, self.subquery())})"
                 else:
                     self.need("(")
                     x = f"({x} {no}IN ({', '.join(self.listed(self.expression))}))"
@@ -410,22 +539,28 @@ class Translator:
 
     def quantified(self, x: str, op: str, every: bool) -> str:
         """ANY and ALL by the extremes, count and nulls of the subquery: uncorrelated parts run once."""
-        q = f"({self.subquery()}) AS q(v)"
+        inner = self.subquery()
+        if (op, every) in (("=", False), ("<>", True)):
+            return f"(NOT {self.among(x, inner)})" if every else self.among(x, inner)
+        q = f"({inner}) AS q(v)"
         one = lambda e: f"(SELECT {e} FROM {q})"
-        n, nulls = one("count(*)"), one("count(*) - count(v)")
-        if op == "=" and not every:
-            hit = f"({x} IN (SELECT v FROM {q} WHERE v IS NOT NULL))"
-        elif op == "<>" and every:
-            hit = f"(NOT ({x} IN (SELECT v FROM {q} WHERE v IS NOT NULL)))"
-        elif op == "=":
+        if op == "=":
             hit = f"({x} = {one('min(v)')} AND {x} = {one('max(v)')})"
         elif op == "<>":
             hit = f"({x} <> {one('min(v)')} OR {x} <> {one('max(v)')})"
         else:
             hit = f"({x} {op} {one('min(v)' if (op[0] == '<') == every else 'max(v)')})"
+        # in three-valued logic: a null among the values leaves open what the others do not decide
         if every:
-            return f"(CASE WHEN {n} = 0 THEN true WHEN NOT {hit} THEN false WHEN {nulls} > 0 THEN NULL ELSE {hit} END)"
-        return f"(CASE WHEN {n} = 0 THEN false WHEN {hit} THEN true WHEN {nulls} > 0 THEN NULL ELSE {hit} END)"
+            return f"({one('count(*)')} = 0 OR ({hit} AND ({one('count(*) - count(v)')} = 0 OR NULL)))"
+        return f"({one('count(*)')} > 0 AND ({hit} OR ({one('count(*) - count(v)')} > 0 AND NULL)))"
+
+    @staticmethod
+    def among(x: str, inner: str) -> str:
+        """x IN (subquery) as a three-valued value: null if x or one of the values is and no value is equal; false for no values."""
+        q = f"({inner}) AS q(v)"
+        hit = f"({x} IN (SELECT v FROM {q} WHERE v IS NOT NULL))"
+        return f"((SELECT count(*) FROM {q}) > 0 AND ({hit} OR ({x} IS NULL AND NULL) OR ((SELECT count(*) - count(v) FROM {q}) > 0 AND NULL)))"
 
     def sum(self) -> str:
         x = self.product()
@@ -440,11 +575,37 @@ class Translator:
             else:
                 return x
 
-    @staticmethod
-    def shifted(x: str, op: str, interval: str) -> str:
-        """A date moves by days and months as a date, and text that is a date or a timestamp is read as one."""
+    def kind(self, x: str) -> str | None:
+        """The Spark type of an expression where it stands, if it can be told."""
+        if x.isdigit():
+            return "int"
+        return self.kinds(x, self.sources, self.head) if self.kinds else None
+
+    def shifted(self, x: str, op: str, interval: str) -> str:
+        """A date stays a date, and text that is a date or a timestamp is read as one and becomes text again."""
+        kind = self.kind(x)
+        if kind == "date":
+            return f"CAST({x} {op} {interval} AS DATE)"
+        if kind == "string":
+            day = f"CAST(CAST(try_cast({{0}} AS DATE) {op} {interval} AS DATE) AS STRING)"
+            return bound(f"(CASE WHEN length(trim({{0}})) <= 10 THEN {day} ELSE date_format(try_cast({{0}} AS TIMESTAMP_NTZ) {op} {interval}, 'yyyy-MM-dd HH:mm:ss') END)", x)
         return f"({x} {op} {interval})"
 
+    def divided(self, x: str, y: str) -> str:
+        a, b = self.kind(x), self.kind(y)
+        if a in _INTS and b in _INTS:
+            return f"({x} DIV nullif({y}, 0))"
+        if a and b:
+            return f"try_divide({x}, {y})"
+        return bound(f"(CASE WHEN typeof({{0}}) IN {_INT} AND typeof({{1}}) IN {_INT} THEN CAST(CAST({{0}} AS DOUBLE) / nullif(CAST({{1}} AS DOUBLE), 0) AS BIGINT) ELSE try_divide({{0}}, {{1}}) END)", x, y)
+
+    def remainder(self, x: str, y: str) -> str:
+        """Whole numbers: the dividend's sign; others: floored."""
+        a, b = self.kind(x), self.kind(y)
+        if a in _INTS and b in _INTS or not (a and b):
+            return f"({x} % nullif({y}, 0))"
+        return bound("({0} - floor({0} / nullif({1}, 0)) * {1})", x, y)
+
     def product(self) -> str:
         x = self.unary()
         while self.at("*") or self.at("/") or self.at("%"):
@@ -453,11 +614,8 @@ class Translator:
             y = self.unary()
             if op == "*":
                 x = f"({x} * {y})"
-            elif op == "/":
-                whole = f"typeof({x}) IN {_INT} AND typeof({y}) IN {_INT}"
-                x = f"(CASE WHEN {whole} THEN CAST(CAST({x} AS DOUBLE) / nullif(CAST({y} AS DOUBLE), 0) AS BIGINT) ELSE try_divide({x}, {y}) END)" if not (x.isdigit() and y.isdigit()) else f"({x} DIV nullif({y}, 0))"
             else:
-                x = f"({x} % nullif({y}, 0))"
+                x = self.divided(x, y) if op == "/" else self.remainder(x, y)
         return x
 
     def unary(self) -> str:
@@ -466,7 +624,7 @@ class Translator:
         self.take("+")
         x = self.primary()
         while self.take("::"):
-            x = self.cast(x, self.type_name())
+            x = self.converted(x, self.type_name())
         return x
 
     def type_name(self) -> str:
@@ -482,13 +640,28 @@ class Translator:
                 return f"DECIMAL({', '.join(args)})"
         return "DECIMAL(38, 6)" if kind == "DECIMAL" else kind
 
+    def converted(self, x: str, kind: str) -> str:
+        return self.cast(x, kind, self.kind(x))
+
     @staticmethod
-    def cast(x: str, kind: str) -> str:
-        """Lenient: leading digits for numbers, null where nothing fits."""
+    def cast(x: str, kind: str, given: str | None = None) -> str:
+        """Lenient: leading digits of text, the nearest number where one is out of range, null where nothing fits. given: x's Spark type."""
         if kind in ("INT", "BIGINT"):
-            return f"(CASE WHEN {x} IS NULL THEN NULL WHEN typeof({x}) = 'string' THEN coalesce(try_cast(regexp_extract(CAST({x} AS STRING), '^\\\\s*([+-]?[0-9]+)', 1) AS {kind}), 0) ELSE try_cast({x} AS {kind}) END)"
+            low, high = ("-2147483648", "2147483647") if kind == "INT" else ("-9223372036854775808L", "9223372036854775807L")
+            digits = f"regexp_extract(CAST({{0}} AS STRING), '^\\\\s*([+-]?[0-9]+)', 1)"
+            # text of any length: read wide, then cut to the type
+            d = f"try_cast({digits} AS DECIMAL(38, 0))"
+            number = f"(CASE WHEN {d} >= {high} THEN {high} WHEN {d} <= {low} THEN {low} WHEN {d} IS NOT NULL THEN CAST({d} AS {kind}) WHEN length({digits}) > 38 THEN if(startswith({digits}, '-'), {low}, {high}) ELSE 0 END)"
+            wide = f"(CASE WHEN {{0}} >= {high} THEN {high} WHEN {{0}} <= {low} THEN {low} ELSE try_cast({{0}} AS {kind}) END)"
+            if given == "string":
+                return bound(f"(CASE WHEN {{0}} IS NOT NULL THEN {number} END)", x)
+            if given in _INTS or given in ("float", "double") or (given or "").startswith("decimal"):
+                return bound(wide, x)
+            if given:
+                return f"try_cast({x} AS {kind})"
+            return bound(f"(CASE WHEN {{0}} IS NULL THEN NULL WHEN typeof({{0}}) = 'string' THEN {number} ELSE try_cast({{0}} AS {kind}) END)", x)
         if kind == "DOUBLE":
-            return f"(CASE WHEN typeof({x}) = 'string' THEN try_cast(regexp_extract(CAST({x} AS STRING), '^\\\\s*([+-]?[0-9]*[.]?[0-9]+)', 1) AS DOUBLE) ELSE try_cast({x} AS DOUBLE) END)"
+            return bound("(CASE WHEN typeof({0}) = 'string' THEN try_cast(regexp_extract(CAST({0} AS STRING), '^\\\\s*([+-]?[0-9]*[.]?[0-9]+)', 1) AS DOUBLE) ELSE try_cast({0} AS DOUBLE) END)", x)
         return f"try_cast({x} AS {kind})"
 
     def primary(self) -> str:
@@ -502,10 +675,14 @@ class Translator:
         if self.take("("):
             if self.at("SELECT") or self.at("WITH"):
                 out = self.query()
-            else:
-                out = ", ".join(self.listed(self.expression))
+                self.need(")")
+                return f"({out})"
+            listed = self.listed(self.expression)
             self.need(")")
-            return f"({out})"
+            out = f"({', '.join(listed)})"
+            if len(listed) > 1:
+                self.rows.add(out)
+            return out
         if t.kind == "name":
             return self.reference()
         if t.kind != "word":
@@ -528,7 +705,10 @@ class Translator:
             unit = self.name().upper().rstrip("S")
             return f"INTERVAL '{value}' {unit}"
         if word == "CASE":
-            return self.case()
+            before, self.plain = self.plain, False
+            out = self.case()
+            self.plain = before
+            return out
         if word == "CAST":
             self.i += 1
             self.need("(")
@@ -536,7 +716,7 @@ class Translator:
             self.need("AS")
             kind = self.type_name()
             self.need(")")
-            return self.cast(x, kind)
+            return self.converted(x, kind)
         if word == "EXISTS" and self.peek(1).value == "(":
             self.i += 1
             return f"EXISTS ({self.subquery()})"
@@ -551,14 +731,17 @@ class Translator:
         if word == "NEXTVAL":
             self.i += 1
             self.need("FOR")
-            return str(self.sequence(self.dotted()))
+            return self.sequence(self.dotted(), self.per_row)
         if word == "CURRENT_TIMESTAMP":
             self.i += 1
             if self.take("("):
                 self.need(")")
             return "localtimestamp()"
         if self.peek(1).kind == "op" and self.peek(1).value == "(":
-            return self.call()
+            before, self.plain = self.plain, False
+            out = self.call()
+            self.plain = before
+            return out
         return self.reference()
 
     def reference(self) -> str:
@@ -566,6 +749,8 @@ class Translator:
         while self.at(".") and self.peek(1).kind in ("word", "name"):
             self.i += 1
             out.append(self.name())
+        if len(out) == 1 and out[0].lower() in self.texts:
+            return self.texts[out[0].lower()]
         if len(out) == 1 and out[0].lower() in self.locals:
             return literal(self.locals[out[0].lower()])
         return ".".join(quote(x) for x in out)
@@ -586,8 +771,8 @@ class Translator:
     def window_spec(self) -> str:
         self.need("(")
         parts = []
-        if self.peek().kind == "word" and self.peek().upper not in ("PARTITION", "ORDER", "ROWS", "RANGE") and not self.at(")"):
-            parts.append(quote(self.name()))
+        if self.peek().kind in ("word", "name") and self.peek().upper not in ("PARTITION", "ORDER", "ROWS", "RANGE"):
+            parts.append(self.named_window()[1:-1])
         if self.take("PARTITION", "BY"):
             parts.append("PARTITION BY " + ", ".join(self.listed(self.expression)))
         ordered = self.take("ORDER", "BY")
@@ -611,6 +796,12 @@ class Translator:
         self.need(")")
         return f"({' '.join(parts)})"
 
+    def named_window(self) -> str:
+        name = self.name()
+        if name.lower() not in self.windows:
+            self.fail(f"unknown window {name}")
+        return self.windows[name.lower()]
+
     def bound(self) -> str:
         if self.take("UNBOUNDED"):
             return "UNBOUNDED " + self.name().upper()
@@ -641,7 +832,7 @@ class Translator:
         elif name in ("PERCENTILE_CONT", "PERCENTILE_DISC"):
             out = f"{name.lower()}({args[0]}) WITHIN GROUP (ORDER BY {within.replace(' NULLS LAST', '')})"
         elif name in self.functions:
-            out = self.functions[name](*args)
+            out = self.functions[name](self, *args)
         elif name in FUNCTIONS and not distinct:
             try:
                 out = FUNCTIONS[name](*args)
@@ -659,7 +850,7 @@ class Translator:
             nulls = f" {self.name().upper()} NULLS"
             self.i += 1
         if self.take("OVER"):
-            spec = self.window_spec() if self.at("(") else quote(self.name())
+            spec = self.window_spec() if self.at("(") else self.named_window()
             if name in ("SUM", "AVG", "MIN", "MAX", "COUNT", "FIRST_VALUE", "LAST_VALUE", "NTH_VALUE") and "ORDER BY" in spec and " ROWS " not in spec and " RANGE " not in spec:
                 spec = spec[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
             out += f"{nulls} OVER {spec}"

@@ -195,3 +195,127 @@ def test_dialect_against_duckdb(spark, sql):
 
 def test_translation_is_plain_sql():
     assert translate("SELECT a FROM t ORDER BY a DESC LIMIT 2, 3") == "SELECT `a` FROM `t` ORDER BY `a` DESC NULLS LAST LIMIT 3 OFFSET 2"
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT 7 / 2 / 2, TYPEOF(id / 2), 9007199254740993 / 1 FROM emp WHERE id = 1", [(1, "INTEGER", 9007199254740993)]),
+        ("SELECT (SELECT MAX(pay) FROM emp) / id / 2, SUM(pay) OVER (ORDER BY id) / 4 FROM emp WHERE id = 2", [(7, 5)]),
+        ("SELECT dept, SUM(pay) / COUNT(*) FROM emp WHERE pay > 0 GROUP BY dept", [("dev", 15), (None, 30)]),
+        ("WITH t AS (SELECT pay AS p FROM emp) SELECT MAX(p) / 7 FROM t", [(4,)]),
+        ("SELECT -7.5 % 2, 7 % -2, -7 % 2, 7.5 % 0", [(0.5, 1, -1, None)]),
+        ("SELECT 5 IN (SELECT pay FROM emp), 10 IN (SELECT pay FROM emp), 5 NOT IN (SELECT pay FROM emp), 5 IN (SELECT pay FROM emp WHERE id > 9), pay IN (SELECT 1) FROM emp WHERE id = 4", [(None, True, None, False, None)]),
+        ("SELECT id FROM emp WHERE (pay IN (SELECT pay FROM emp WHERE id = 4)) IS NULL", [(1,), (2,), (3,), (4,)]),
+        ("SELECT id FROM emp WHERE NOT (pay IN (SELECT pay FROM emp WHERE id < 3))", [(3,)]),
+        ("SELECT CAST(99999999999 AS INT), CAST(-1e30 AS BIGINT), CAST('-99999999999' AS INT), CAST('9e' AS INT), CAST(NULL AS INT), CAST(TRUE AS INT)", [(2147483647, -9223372036854775808, -2147483648, 9, None, 1)]),
+        ("SELECT '2024-01-31' + INTERVAL 1 MONTH, '2024-01-31 10:00:00' - INTERVAL 1 DAY, DATE '2024-01-31' + INTERVAL 30 HOUR", [("2024-02-29", "2024-01-30 10:00:00", __import__("datetime").date(2024, 2, 1))]),
+        ("SELECT SUM(x) OVER w AS s FROM (VALUES (1), (2), (2)) AS v(x) WINDOW w AS (ORDER BY x)", [(1,), (3,), (5,)]),
+        ("SELECT dept, id FROM emp ORDER BY dept FETCH FIRST 1 ROW WITH TIES", [("dev", 1), ("dev", 2)]),
+        ("SELECT DISTINCT dept AS d FROM emp ORDER BY d DESC FETCH FIRST 1 ROWS WITH TIES", [("ops",)]),
+        ("SELECT dept, COUNT(*) AS n FROM emp GROUP BY dept ORDER BY COUNT(*) OFFSET 1 ROW FETCH NEXT 1 ROW WITH TIES", None),
+    ],
+)
+def test_rules_of_the_dialect(db, sql, want):
+    got = rows(db, sql)
+    assert len(got) == 1 if want is None else got == sorted(want, key=repr)
+
+
+def test_long_chains_stay_short():
+    assert len(translate("SELECT " + "a" + " / 2" * 30 + " FROM t")) < 12_000
+
+
+BODIES = [
+    ("f(n INT) RETURNS BIGINT BEGIN DECLARE i INT DEFAULT 1; DECLARE out BIGINT DEFAULT 1; WHILE i <= n DO SET out = out * i; SET i = i + 1; END WHILE; RETURN out; END", "F(id)", [1, 2, 6, 24]),
+    ("f(n INT) RETURNS INT BEGIN IF n = 1 THEN RETURN 10; ELSEIF n = 2 THEN RETURN 20; END IF; RETURN n / 2; END", "F(id)", [10, 20, 1, 2]),
+    ("f(n INT) RETURNS TEXT BEGIN CASE n WHEN 1 THEN RETURN 'one'; WHEN 2 THEN RETURN 'two'; ELSE SET n = n * 10; END CASE; RETURN n || '!'; END", "F(id)", ["one", "two", "30!", "40!"]),
+    ("f(n INT) RETURNS INT BEGIN DECLARE i INT DEFAULT 0; DECLARE s INT DEFAULT 0; go: LOOP SET i = i + 1; IF i > n THEN LEAVE go; END IF; IF i % 2 = 0 THEN ITERATE go; END IF; SET s = s + i; END LOOP; RETURN s; END", "F(id + 2)", [4, 4, 9, 9]),
+    ("f(n INT) RETURNS INT BEGIN DECLARE i INT DEFAULT 0; REPEAT SET i = i + 3; UNTIL i >= n END REPEAT; RETURN i; END", "F(id * 4)", [6, 9, 12, 18]),
+    ("f(n INT, m INT) RETURNS INT RETURN COALESCE(n, 0) + m", "F(pay, id)", [11, 22, 33, 4]),
+]
+
+
+@pytest.mark.parametrize(("body", "call", "want"), BODIES)
+def test_function_bodies(db, body, call, want):
+    db.sql("CREATE FUNCTION " + body)
+    assert [r[1] for r in rows(db, f"SELECT id, {call} FROM emp")] == want
+
+
+def test_wrong_bodies(db):
+    db.sql("CREATE FUNCTION g(n INT) RETURNS INT BEGIN IF n = 1 THEN RETURN 1; END IF; END")
+    assert rows(db, "SELECT G(id) FROM emp WHERE id = 1") == [(1,)]
+    with pytest.raises(Exception, match="without RETURN"):
+        db.sql("SELECT G(id) FROM emp").collect()
+    with pytest.raises(SqlError):
+        db.sql("CREATE FUNCTION h(n INT) RETURNS INT BEGIN SET x = 1; RETURN x; END")
+
+
+def test_names_beyond_ascii(db):
+    db.sql("CREATE TABLE `学生` (`编号` INT PRIMARY KEY, `名字` VARCHAR(50))")
+    db.sql("INSERT INTO `学生` VALUES (1, '王')")
+    db.sql("UPDATE `学生` SET `名字` = '李' WHERE `编号` = 1")
+    assert rows(db, "SELECT s.`名字` FROM `学生` s") == [("李",)]
+
+
+def test_repeated_keys_in_one_statement(db):
+    db.sql("INSERT INTO emp VALUES (9, 'a', 'x', 1), (9, 'b', 'x', 2), (1, 'c', 'x', 5) ON DUPLICATE KEY UPDATE pay = pay + VALUES(pay)")
+    assert rows(db, "SELECT id, name, pay FROM emp WHERE id IN (1, 9)") == [(1, "ann", 15), (9, "a", 3)]
+    db.sql("REPLACE INTO emp VALUES (9, 'p', 'x', 1), (9, 'q', 'x', 2)")
+    assert rows(db, "SELECT name FROM emp WHERE id = 9") == [("q",)]
+
+
+def test_rows_through_views(db):
+    db.sql("CREATE VIEW devs (who, nr) AS SELECT e.name, e.id FROM emp e WHERE e.dept = 'dev' OR e.id > 50")
+    db.sql("CREATE VIEW high AS SELECT nr, who AS label FROM devs WHERE nr > 60 WITH CHECK OPTION")
+    db.sql("INSERT INTO devs VALUES ('zoe', 51)")
+    db.sql("INSERT INTO devs (nr) SELECT 52 WHERE FALSE")
+    db.sql("INSERT INTO high (label, nr) VALUES ('top', 61)")
+    for sql in ("INSERT INTO high VALUES (55, 'low')", "INSERT INTO devs (id) VALUES (1)"):
+        with pytest.raises(SqlError):
+            db.sql(sql)
+    assert rows(db, "SELECT id, name, dept FROM emp WHERE id > 50") == [(51, "zoe", "ops"), (61, "top", "ops")]
+
+
+def test_sequences_row_by_row(db):
+    db.sql("CREATE SEQUENCE s START WITH 5 INCREMENT BY 5")
+    assert sorted(r[0] for r in db.sql("SELECT NEXTVAL FOR s FROM emp").collect()) == [5, 10, 15, 20]
+    db.sql("INSERT INTO emp (id, name) VALUES (NEXTVAL FOR s, 'a'), (NEXTVAL FOR s, 'b')")
+    assert rows(db, "SELECT id FROM emp WHERE id > 20") == [(25,), (30,)]
+
+
+def test_explain_formats_and_errors(db):
+    text = "\n".join(r[0] for r in db.sql("EXPLAIN ANALYZE SELECT dept, COUNT(*) FROM emp GROUP BY dept").collect())
+    assert "rows: 3" in text
+    tree = __import__("json").loads("\n".join(r[0] for r in db.sql("EXPLAIN ANALYZE FORMAT JSON SELECT dept, COUNT(*) FROM emp GROUP BY dept").collect()))
+    assert tree["rows"] == 3 and tree["children"]
+    assert db.sql("EXPLAIN FORMAT SEXPR SELECT 1").first()[0].startswith("(")
+    for sql, kind, place in (("SELECT a\nFROM emp WHERE", "syntax", (2, 15)), ("SELECT 1 FROM empp", "name", (None, None)), ("SELECT nam FROM emp", "name", (None, None)), ("INSERT INTO emp VALUES (1, 'x', 'x', 1)", "constraint", (None, None)), ("SELECT 'a\n", "syntax", (1, 8))):
+        with pytest.raises(SqlError) as e:
+            db.sql(sql).collect()
+        assert (e.value.kind, (e.value.line, e.value.column)) == (kind, place)
+
+
+def test_catalog_survives(db, spark, tmp_path):
+    db.sql("CREATE VIEW dev AS SELECT id, name FROM emp WHERE dept = 'dev'")
+    db.sql("CREATE FUNCTION twice(x INT) RETURNS INT RETURN x * 2")
+    db.sql("CREATE SEQUENCE s START WITH 5")
+    db.sql("CREATE MATERIALIZED VIEW m AS SELECT COUNT(*) AS n FROM emp")
+    db.save(f"file://{tmp_path}/db")
+    db.sql("DELETE FROM emp")
+    again = Engine.load(spark, f"file://{tmp_path}/db")
+    assert rows(again, "SELECT name, TWICE(id) FROM dev") == [("ann", 2), ("bob", 4)] and rows(again, "SELECT n FROM m") == [(4,)]
+    again.sql("INSERT INTO emp (id, name) VALUES (NEXTVAL FOR s, 'eve')")
+    with pytest.raises(SqlError):
+        again.sql("INSERT INTO emp VALUES (5, 'twin', 'x', 1)")
+    again.save(f"file://{tmp_path}/db")
+    assert len(rows(Engine.load(spark, f"file://{tmp_path}/db"), "SELECT * FROM emp")) == 5
+
+
+def test_shell(spark, tmp_path):
+    from lakemill.__main__ import Shell
+
+    (tmp_path / "a.sql").write_text("INSERT INTO t VALUES (2);\n")
+    script = f"CREATE TABLE t (a INT);\nINSERT INTO t VALUES (1);\n.read {tmp_path}/a.sql\nSELECT SUM(a) AS s\nFROM t;\n\\\\ast SELECT 7 / 2\n\\\\optimized SELECT a FROM t WHERE a > 1\n\\\\nope SELECT 1\nSELECT oops FROM t;\nCREATE PROCEDURE p() BEGIN SET @x = 1; SET @x = 2; END;\nCALL p(); SELECT @x AS x;\n.quit\nSELECT 9;"
+    out = list(Shell(Engine(spark)).run(script.replace("\\\\", "\\")))
+    assert out[3].splitlines()[2] == "3" and out[4] == "SELECT (7 DIV nullif(2, 0))" and "Filter" in out[5]
+    assert out[6].startswith("ERROR [syntax]") and out[7].startswith("ERROR [name]") and out[-1].splitlines()[2] == "2" and len(out) == 11
