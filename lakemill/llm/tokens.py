@@ -8,7 +8,7 @@ and a payload is ``uint8 width | uint32 n | zstd(ids as little-endian unsigned i
 width)``. The masking is the rotation and constant of the public TFRecord format. Beside each data
 file stands an index of 33-byte entries (id present, id, offset, frame bytes, ids), so that a reader
 can fetch any frame alone, in any order. A manifest, written last and by the driver, names the
-files of committed tasks in order; files of lost or repeated attempts are never read.
+files of the tasks whose rows came back, in order; files of lost or repeated attempts are never read.
 
 Cases: a null text is an empty text and holds the end id only; a null doc_id is kept and comes
 first; repeated rows are each written, ties of doc_id in order of text; an empty table gives no
@@ -21,15 +21,15 @@ import json
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import common
 
@@ -182,32 +182,25 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- source and sink
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    partition: int
-    name: str
-    rows: int
-    ids: int
-    size: int
+_WRITTEN = "part int, name string, n_rows long, n_ids long, size long"
+_READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+_READ_SQL = "doc_id long, start long, n_tokens long, ids binary"
 
 
-class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.path, self.tokenizer, self.end_id = options["path"], options["tokenizer"], int(options["end_id"])
-
-    def write(self, iterator) -> Written:
-        from pyspark import TaskContext
+def _write(path: str, tokenizer: str, end_id: int):
+    """A task's rows to a data file and its index; what comes back tells of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        coder, index, at, total = encoder(self.tokenizer), [], 0, 0
+        coder, index, at, total = encoder(tokenizer), [], 0, 0
         with store.open_output_stream(f"{root}/{name}.tok") as out:
-            for batch in iterator:
-                ids_of = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for batch in batches:
+                ids_of = batch.column(0).to_pylist()
                 for i, j, data, offs in common.slices(batch, "text"):
-                    ids, ends = coder.encode(data, offs, self.end_id)
+                    ids, ends = coder.encode(data, offs, end_id)
                     begin = 0
                     for k, stop in zip(range(i, j), ends.tolist(), strict=True):
                         record = frame(ids[begin:stop])
@@ -216,122 +209,83 @@ class TokenWriter(DataSourceArrowWriter):
                         at += len(record)
                         total += stop - begin
                         begin = stop
-        if index:
-            with store.open_output_stream(f"{root}/{name}.idx") as out:
-                out.write(np.array(index, INDEX).tobytes())
-        return Written(part, name, len(index), total, at)
-
-    def commit(self, messages) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
-        store.create_dir(root, recursive=True)
-        done = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.partition)
-        with store.open_output_stream(f"{root}/_manifest.json") as out:
-            out.write(json.dumps([[m.name, m.rows, m.ids, m.size] for m in done]).encode())
-
-    def abort(self, messages) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
-        for m in messages:
-            if m is not None:
-                store.delete_file(f"{root}/{m.name}.tok")
-
-
-@dataclass
-class Frames(InputPartition):
-    name: str
-    first: int
-    rows: int
-    start: int
-
-
-class TokenReader(DataSourceReader):
-    """A partition for each file, or with ``seed`` the frames of each file in shuffled order, fetched by offset."""
-
-    def __init__(self, options: dict) -> None:
-        self.path, self.seed = options["path"], options.get("seed")
-
-    def partitions(self) -> list[Frames]:
-        store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/_manifest.json") as f:
-            shards = json.loads(f.read())
-        out, start = [], 0
-        for name, rows, ids, _ in shards:
-            out.append(Frames(name, 0, rows, start))
-            start += ids
-        if self.seed is not None:
-            np.random.default_rng(int(self.seed)).shuffle(out)
-        return out or [Frames("", 0, 0, 0)]
-
-    def read(self, part: Frames):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        if not part.rows:
+        if not index:
+            store.delete_file(f"{root}/{name}.tok")
             return
-        store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(f"{root}/{part.name}.idx") as f:
-            index = np.frombuffer(f.read(), INDEX)
-        start = part.start + np.cumsum(index["n"]).astype(np.int64) - index["n"].astype(np.int64)
-        order = np.arange(len(index))
-        if self.seed is not None:
-            np.random.default_rng((int(self.seed), part.start)).shuffle(order)
-        with store.open_input_file(f"{root}/{part.name}.tok") as f:
-            i = 0
-            while i < len(order):
-                j, room = i + 1, READ_BYTES - int(index["n"][order[i]]) * 4
-                while j < len(order) and room >= int(index["n"][order[j]]) * 4:
-                    room -= int(index["n"][order[j]]) * 4
-                    j += 1
-                got = order[i:j]
-                if self.seed is None:
-                    low = int(index["offset"][got[0]])
-                    block = memoryview(f.read_at(int(index["offset"][got[-1]] + index["size"][got[-1]]) - low, low))
-                    frames = [block[int(o) - low : int(o) - low + int(s)] for o, s in zip(index["offset"][got], index["size"][got], strict=True)]
-                else:
-                    frames = [memoryview(f.read_at(int(index["size"][k]), int(index["offset"][k]))) for k in got]
-                ids = [unframe(x) for x in frames]
-                if any(len(x) != n for x, n in zip(ids, index["n"][got], strict=True)):
-                    raise ValueError("index and frames differ")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(index["doc_id"][got], pa.int64(), mask=index["known"][got] == 0),
-                        pa.array(start[got]),
-                        pa.array(index["n"][got].astype(np.int64)),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-                i = j
-
-
-class TokenFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "lakemill_tokens"
-
-    def schema(self) -> str:
-        return "doc_id long, start long, n_tokens long, ids binary"
-
-    def reader(self, schema) -> TokenReader:
-        return TokenReader(self.options)
-
-    def writer(self, schema, overwrite) -> TokenWriter:
-        return TokenWriter(self.options)
+        with store.open_output_stream(f"{root}/{name}.idx") as out:
+            out.write(np.array(index, INDEX).tobytes())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_rows": [len(index)], "n_ids": [total], "size": [at]})
+
+    return run
+
+
+def shards(path: str) -> list[tuple[str, int, int]]:
+    """(name, rows, ids before it) of the files of committed tasks, in order."""
+    store, root = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{root}/_manifest.json") as f:
+        files = json.loads(f.read())
+    before = np.cumsum([0, *(n for _, _, n, _ in files)]).tolist()
+    return [(name, rows, at) for (name, rows, _, _), at in zip(files, before, strict=False)]
+
+
+def frames(path: str, name: str, before: int, seed: int | None) -> Iterator[pa.RecordBatch]:
+    """The records of one file, about READ_BYTES of ids at a time; with a seed in shuffled order, each fetched by its offset."""
+    store, root = fs.FileSystem.from_uri(path)
+    with store.open_input_file(f"{root}/{name}.idx") as f:
+        index = np.frombuffer(f.read(), INDEX)
+    start = before + np.cumsum(index["n"]).astype(np.int64) - index["n"].astype(np.int64)
+    order = np.arange(len(index))
+    if seed is not None:
+        np.random.default_rng((seed, before)).shuffle(order)
+    with store.open_input_file(f"{root}/{name}.tok") as f:
+        i = 0
+        while i < len(order):
+            j, room = i + 1, READ_BYTES - int(index["n"][order[i]]) * 4
+            while j < len(order) and room >= int(index["n"][order[j]]) * 4:
+                room -= int(index["n"][order[j]]) * 4
+                j += 1
+            got = order[i:j]
+            if seed is None:
+                low = int(index["offset"][got[0]])
+                block = memoryview(f.read_at(int(index["offset"][got[-1]] + index["size"][got[-1]]) - low, low))
+                found = [block[int(o) - low : int(o) - low + int(s)] for o, s in zip(index["offset"][got], index["size"][got], strict=True)]
+            else:
+                found = [memoryview(f.read_at(int(index["size"][k]), int(index["offset"][k]))) for k in got]
+            ids = [unframe(x) for x in found]
+            if any(len(x) != n for x, n in zip(ids, index["n"][got], strict=True)):
+                raise ValueError("index and frames differ")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(index["doc_id"][got], pa.int64(), mask=index["known"][got] == 0), pa.array(start[got]), pa.array(index["n"][got].astype(np.int64)), pa.array([x.tobytes() for x in ids], pa.binary())],
+                schema=_READ,
+            )
+            i = j
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
-    """Encode every whole text and write it in ascending doc_id order. One shuffle, by range of doc_id."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    spark.dataSource.register(TokenFiles)
+    """Encode every whole text and write it in ascending doc_id order. One shuffle, by range of doc_id; a row for each task comes back."""
+    common.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the beginning of the text parts rows of one doc_id, or of none, without another order
     rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    rows.write.format("lakemill_tokens").option("tokenizer", tokenizer).option("end_id", str(end_id)).mode("append").save(path)
+    done = sorted(rows.mapInArrow(_write(path, tokenizer, end_id), _WRITTEN).collect())
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/_manifest.json") as out:
+        out.write(json.dumps([[r["name"], r["n_rows"], r["n_ids"], r["size"]] for r in done]).encode())
 
 
 def read(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian uint32); a seed reads frames in shuffled order."""
-    spark.dataSource.register(TokenFiles)
-    source = spark.read.format("lakemill_tokens")
-    return (source if seed is None else source.option("seed", str(seed))).load(path)
+    """doc_id, start, n_tokens and ids (little-endian uint32), a task for each file; a seed reads files and frames in shuffled order."""
+    files = shards(path)
+    if seed is not None:
+        files = [files[k] for k in np.random.default_rng(seed).permutation(len(files))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from frames(path, files[k][0], int(files[k][2]), seed)
+
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, _READ_SQL)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
