@@ -8,6 +8,7 @@ so Catalyst plans and optimises the result like any other query.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 
 from .lexer import SqlError, Token, tokenize
@@ -827,7 +828,11 @@ class Translator:
             self.need("ORDER", "BY")
             within = self.order_keys()
             self.need(")")
-        if name in ("STRING_AGG", "GROUP_CONCAT", "LISTAGG"):
+        joined = None  # how values that are gathered and sorted become one text
+        if name in ("STRING_AGG", "GROUP_CONCAT", "LISTAGG") and distinct and within and re.fullmatch(r"( ASC| DESC)?( NULLS (FIRST|LAST))?", within.removeprefix(args[0])):
+            out, down = f"collect_set({args[0]})", " DESC" in within.removeprefix(args[0])  # in the values' own order, not their texts'
+            joined = lambda x: f"CASE WHEN size({x}) > 0 THEN array_join(transform(sort_array({x}, {not down}), v -> CAST(v AS STRING)), {args[1] if len(args) > 1 else text(',')}) END"
+        elif name in ("STRING_AGG", "GROUP_CONCAT", "LISTAGG"):
             out = f"listagg({'DISTINCT ' * distinct}CAST({args[0]} AS STRING), {args[1] if len(args) > 1 else text(',')})" + (f" WITHIN GROUP (ORDER BY {within})" if within else "")
         elif name in ("PERCENTILE_CONT", "PERCENTILE_DISC"):
             out = f"{name.lower()}({args[0]}) WITHIN GROUP (ORDER BY {within.replace(' NULLS LAST', '')})"
@@ -854,7 +859,7 @@ class Translator:
             if name in ("SUM", "AVG", "MIN", "MAX", "COUNT", "FIRST_VALUE", "LAST_VALUE", "NTH_VALUE") and "ORDER BY" in spec and " ROWS " not in spec and " RANGE " not in spec:
                 spec = spec[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
             out += f"{nulls} OVER {spec}"
-        return out
+        return joined(out) if joined else out
 
 
 def literal(v) -> str:

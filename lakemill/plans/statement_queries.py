@@ -89,3 +89,32 @@ statements("auto_increment", "SELECT count(*) AS c, 1 AS lo, CAST(count(*) AS IN
 statements("udf_procedural", COLLATZ, STEPS, "SELECT n_nationkey AS k, STEPS(n_nationkey + 1) AS s FROM nation")
 statements("procedure_cursor_out", "SELECT CAST(sum(r_regionkey * r_regionkey) AS INTEGER) AS t FROM region WHERE r_regionkey >= 2", TOTAL, "CALL total(2, @t)", "SELECT @t AS t")
 statements("procedure_handler", "SELECT -1 AS s, count(*) AS c FROM customer", TABLE, FILL, SAFE, "CALL safe(@s)", "SELECT @s AS s, COUNT(*) AS c FROM n")
+
+# ------------------------------------------------------------------ the rest of the statements, each through its text
+
+LOOPS = "CREATE PROCEDURE loops(OUT a INT, OUT b INT, OUT c VARCHAR(20)) BEGIN DECLARE i INT DEFAULT 0; SET a = 0; SET b = 0; l: LOOP SET i = i + 1; IF i > 9 THEN LEAVE l; END IF; IF i % 2 = 0 THEN ITERATE l; END IF; SET a = a + i; END LOOP l; REPEAT SET b = b + 2; UNTIL b >= 7 END REPEAT; CASE WHEN a > b THEN SET c = 'more'; ELSE SET c = 'less'; END CASE; END"
+SIGNALS = "CREATE PROCEDURE signals(OUT s INT) BEGIN DECLARE CONTINUE HANDLER FOR SQLSTATE '45000' SET s = s + 10; SET s = 1; SIGNAL SQLSTATE '45000'; SET s = s + 100; END"
+GUARDED = "CREATE PROCEDURE guarded(OUT s INT) BEGIN DECLARE EXIT HANDLER FOR SQLEXCEPTION SET s = -1; SET s = 0; DELETE FROM reg WHERE id = 1; SET s = 1; END"
+
+statements("sql_unary_minus", "SELECT s_suppkey, -s_acctbal AS a, s_nationkey AS b, 1 - s_suppkey AS c FROM supplier", "SELECT s_suppkey, -s_acctbal AS a, -(-s_nationkey) AS b, -s_suppkey + 1 AS c FROM supplier")
+statements("sql_offset_only", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey OFFSET 10", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey OFFSET 10 ROWS")
+statements("sql_set_op_trailing", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 20 FROM supplier ORDER BY k DESC LIMIT 9", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 20 FROM supplier ORDER BY k DESC LIMIT 9")
+statements("sql_set_op_nested", "(SELECT c_nationkey AS k FROM customer) EXCEPT ((SELECT s_nationkey FROM supplier) INTERSECT (SELECT n_nationkey FROM nation WHERE n_regionkey < 3))", "(SELECT c_nationkey AS k FROM customer) EXCEPT ((SELECT s_nationkey FROM supplier) INTERSECT (SELECT n_nationkey FROM nation WHERE n_regionkey < 3))")
+statements("sql_variable", "SELECT c_custkey, c_nationkey * 3 AS v FROM customer WHERE c_nationkey > 3", "SET @lo = 3", "SELECT c_custkey, c_nationkey * @lo AS v FROM customer WHERE c_nationkey > @lo")
+statements("sql_now_rand", "SELECT count(*) AS c FROM customer", "SELECT COUNT(*) AS c FROM customer WHERE RAND() >= 0 AND RANDOM() < 1 AND NOW() > CAST('2020-01-01' AS DATE) AND CURRENT_TIMESTAMP > CAST('2020-01-01' AS DATE)")
+statements("sql_for_update", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 FOR UPDATE")
+statements("sql_joins", "SELECT r_name, n_name, coalesce(s.c, 0) AS c, t.top FROM nation n JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, max(c_acctbal) AS top FROM customer GROUP BY 1) t ON c_nationkey = n_nationkey", "SELECT r_name, n_name, COALESCE(s.c, 0) AS c, t.top FROM nation n JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r USING (n_regionkey) LEFT JOIN (SELECT s_nationkey, COUNT(*) AS c FROM supplier GROUP BY s_nationkey) s ON s_nationkey = n_nationkey, LATERAL (SELECT MAX(c_acctbal) AS top FROM customer WHERE c_nationkey = n.n_nationkey) t")
+statements("sql_correlated", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 8000)", "SELECT c_custkey, (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey) AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 8000)")
+statements("sql_aggregates", "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS a, sum(c_custkey) FILTER (WHERE c_acctbal > 0) AS b, quantile_cont(c_acctbal, 0.25) AS d, median(c_acctbal) AS e, (SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY k DESC) FROM (SELECT DISTINCT c_nationkey AS k FROM customer i WHERE i.c_mktsegment = customer.c_mktsegment AND c_acctbal > 9000)) AS f FROM customer GROUP BY c_mktsegment HAVING count(*) > 1", "SELECT c_mktsegment, COUNT(DISTINCT c_nationkey) AS a, SUM(c_custkey) FILTER (WHERE c_acctbal > 0) AS b, PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY c_acctbal) AS d, MEDIAN(c_acctbal) AS e, STRING_AGG(DISTINCT c_nationkey, ',' ORDER BY c_nationkey DESC) FILTER (WHERE c_acctbal > 9000) AS f FROM customer GROUP BY c_mktsegment HAVING COUNT(*) > 1")
+statements("sql_functions", "SELECT c_custkey, upper(c_name) || '-' || lower(c_mktsegment) AS a, substr(c_name, 3, 4) AS b, strpos(c_name, '#') AS c, replace(c_name, '0', 'o') AS d, CASE WHEN c_acctbal < 0 THEN 'neg' WHEN c_acctbal < 5000 THEN 'mid' END AS e, concat_ws('/', c_name, NULL, c_mktsegment) AS f, coalesce(nullif(c_nationkey, 3), -1) AS g FROM customer WHERE c_name LIKE '%1%' AND c_mktsegment ILIKE 'b%' OR c_nationkey BETWEEN 2 AND 4", "SELECT c_custkey, UPPER(c_name) || '-' || LOWER(c_mktsegment) AS a, SUBSTR(c_name, 3, 4) AS b, INSTR(c_name, '#') AS c, REPLACE(c_name, '0', 'o') AS d, CASE WHEN c_acctbal < 0 THEN 'neg' WHEN c_acctbal < 5000 THEN 'mid' END AS e, CONCAT_WS('/', c_name, NULL, c_mktsegment) AS f, IFNULL(NULLIF(c_nationkey, 3), -1) AS g FROM customer WHERE c_name LIKE '%1%' AND c_mktsegment ILIKE 'b%' OR c_nationkey BETWEEN 2 AND 4")
+statements("sql_cte_reused", "WITH a AS (SELECT c_nationkey AS k, sum(c_acctbal) AS s FROM customer GROUP BY 1) SELECT x.k, round(x.s - y.m, 2) AS d FROM a x, (SELECT avg(s) AS m FROM a) y", "WITH a (k, s) AS (SELECT c_nationkey, SUM(c_acctbal) FROM customer GROUP BY c_nationkey), y AS (SELECT AVG(s) AS m FROM a) SELECT x.k, ROUND(x.s - y.m, 2) AS d FROM a x CROSS JOIN y")
+statements("index_show_drop", "SELECT 'u' AS name, 'k, name' AS \"columns\", true AS is_unique", TABLE, FILL, "CREATE UNIQUE INDEX u ON n (k, name)", "CREATE INDEX i ON n (r)", "DROP INDEX i", "SHOW INDEX FROM n")
+statements("schema_qualified", N, "CREATE SCHEMA s", TABLE.replace("TABLE n", "TABLE s.n"), FILL.replace("INTO n", "INTO s.n"), "SELECT k, name, r FROM s.n")
+statements("drop_create_again", "SELECT 0 AS c", TABLE, FILL, "DROP TABLE n", "DROP TABLE IF EXISTS n", TABLE, "SELECT COUNT(*) AS c FROM n")
+statements("show_tables", "SELECT unnest(['customer', 'n', 'nation', 'orders', 'part', 'region', 'supplier']) AS name", TABLE, "SHOW TABLES")
+statements("alter_rename_modify", f"SELECT k, name AS label, CAST(r AS VARCHAR) || '!' AS r FROM ({N})", TABLE, FILL, "ALTER TABLE n RENAME COLUMN name TO label", "ALTER TABLE n MODIFY COLUMN r VARCHAR(9)", "SELECT k, label, r || '!' AS r FROM n")
+statements("txn_rollback", f"SELECT * FROM ({N})", TABLE, FILL, "BEGIN", "DELETE FROM n WHERE r > 3", "UPDATE n SET r = 0", "ROLLBACK", ALL)
+statements("view_replaced", f"SELECT k, r FROM ({N}) WHERE r > 5", TABLE, FILL, "CREATE VIEW v AS SELECT k FROM n", "CREATE OR REPLACE VIEW v AS SELECT k, r FROM n WHERE r > 5", "SELECT k, r FROM v")
+statements("procedure_branches", "SELECT 25 AS a, 8 AS b, 'more' AS c", LOOPS, "CALL loops(@a, @b, @c)", "SELECT @a AS a, @b AS b, @c AS c")
+statements("procedure_signal", "SELECT 111 AS s", SIGNALS, "CALL signals(@s)", "SELECT @s AS s")
+statements("fk_restrict", "SELECT -1 AS s, (SELECT count(*) FROM nation) AS c", *REG, "CREATE TABLE n (k INT PRIMARY KEY, name TEXT, r INT REFERENCES reg(id) ON DELETE RESTRICT)", FILL, GUARDED, "CALL guarded(@s)", "SELECT @s AS s, COUNT(*) AS c FROM reg")
