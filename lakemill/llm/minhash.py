@@ -211,12 +211,19 @@ def _by_prefix(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     counts = np.zeros(RANGES, np.int64)
     counts[got["range"].to_numpy()] = got["n"].to_numpy()
     rows = common.materialize(nodes.select("node", "class", "text").mapInArrow(_prefixes(counts, size, threshold), "node string, class string, total long, before long, short boolean, gram long"), "prefixes")
-    x = rows.where("short").select("gram", F.col("node").alias("a"), F.col("class").alias("p"), F.col("total").alias("s"), (F.col("total") - F.col("before")).alias("u"))
-    y = rows.select("gram", F.col("node").alias("b"), F.col("class").alias("q"), F.col("total").alias("t"), (F.col("total") - F.col("before")).alias("v"))
+    # sizes of two bags that reach the threshold lie in one band or in neighbours, so others never meet, whatever shingle they share
+    band = F.floor(F.log(F.col("total").cast("double")) / float(np.log(1.001 / threshold))).cast("int")
+    x = rows.where("short").select("gram", band.alias("band"), F.col("node").alias("a"), F.col("class").alias("p"), F.col("total").alias("s"), (F.col("total") - F.col("before")).alias("u"))
+    y = rows.select("gram", F.explode(F.array(band, band - 1)).alias("band"), F.col("node").alias("b"), F.col("class").alias("q"), F.col("total").alias("t"), (F.col("total") - F.col("before")).alias("v"))
+    # a shingle that many bags start with is dealt over as many tasks as FAN of them need
+    turns = common.materialize(x.groupBy("gram", "band").agg(F.ceil(F.count("*") / FAN).cast("int").alias("turns")).where("turns > 1"), "turns")
+    turn = F.coalesce("turns", F.lit(1))
+    x = x.join(turns, ["gram", "band"], "left").withColumn("turn", F.pmod(F.xxhash64("a"), turn).cast("int")).drop("turns")
+    y = y.join(turns, ["gram", "band"], "left").withColumn("turn", F.explode(F.sequence(F.lit(0), turn - 1))).drop("turns")
     # the smaller bag looks among its first shingles; from the first shared one on, enough weight must be left in both
     smaller = (F.col("s") < F.col("t")) | ((F.col("s") == F.col("t")) & (F.col("a") < F.col("b")))
     enough = F.least("u", "v") >= (F.col("s") + F.col("t")) * (threshold / (1 + threshold)) - 1e-6
-    found = x.join(y, "gram").where(smaller & enough & (F.col("p") != F.col("q")) & (F.col("s") >= F.col("t") * threshold - 1e-6))
+    found = x.join(y, ["gram", "band", "turn"]).where(smaller & enough & (F.col("p") != F.col("q")) & (F.col("s") >= F.col("t") * threshold - 1e-6))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -136,6 +136,23 @@ def test_near_classes(docs, rows, empty, monkeypatch, fan):
     assert minhash.classes(empty).collect() == []
 
 
+@pytest.mark.parametrize("fan", [256, 3])
+def test_prefix_pairs_of_common_shingles(spark, monkeypatch, fan):
+    """Stretches of one text: every shingle is a hot one, and sizes lie on and beside the bands' edges."""
+    monkeypatch.setattr(minhash, "FAN", fan)
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[i : i + n]) for i, n in sorted({(int(i), int(n)) for i, n in zip(rng.integers(0, 8, 150), rng.integers(5, 50, 150), strict=True)})]
+    texts += [" ".join(["a"] * n) for n in (8, 9, 10, 12, 13, 15, 19, 20, 24, 25)]
+    nodes = spark.createDataFrame([(f"n{k}", f"c{k}", t) for k, t in enumerate(texts)], "node string, class string, text string")
+    found = minhash._by_prefix(nodes, minhash.WORDS, minhash.THRESHOLD)
+    got = {(r.a, r.b) for r in found.collect()}
+    bags = {f"n{k}": collections.Counter(shingles(t)) for k, t in enumerate(texts)}
+    near = {(a, b) for a in bags for b in bags if a < b and (bags[a] & bags[b]).total() >= minhash.THRESHOLD * (bags[a] | bags[b]).total()}
+    assert len(near) > 20 and near <= got
+    assert found.count() == len(got)
+
+
 def test_near_dedup_keeps_one_of_each_class(docs, rows):
     kept = minhash.dedup(docs)
     assert kept.columns == docs.columns
