@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,15 @@ def test_repeats_by_pieces_and_in_two_steps(spark, docs, rows, monkeypatch):
     assert sorted((tuple(r) for r in repeats.digest(docs).collect()), key=repr) == want
 
 
+def test_repeats_by_many_indexes_in_a_range(docs, rows, monkeypatch):
+    made = []
+    monkeypatch.setattr(repeats, "_contexts", lambda ranges, f=repeats._contexts: made.append(ranges) or f(ranges))
+    for name, value in (("RANGES", 2), ("INDEXES", 1000), ("INDEX_SYMBOLS", 300)):
+        monkeypatch.setattr(repeats, name, value)
+    assert sorted((tuple(r) for r in repeats.digest(docs).collect()), key=repr) == sorted(cut_by_force(rows), key=repr)
+    assert made == [2]
+
+
 def test_anchors_of_a_long_text_by_windows(monkeypatch):
     text = np.frombuffer(words(random.Random(3), 4000, 300).encode(), np.uint8)
     offs = np.array([0, len(text)])
@@ -230,6 +240,22 @@ def test_anchors_of_a_long_text_by_windows(monkeypatch):
     assert all(np.array_equal(a[order], b) for a, b in zip(got, whole, strict=True))
 
 
+def test_contexts_that_agree_on_no_side_need_no_index():
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, long = letters(34), letters(56)  # prose repeats 34 bytes by chance; only the longer passage holds a stretch
+    texts = [letters(60) + (short if k < 40 else long) + letters(60) for k in range(44)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(44)), "tag": list(range(100, 144)), "text": texts})
+    blobs = [next(repeats._each(b.slice(i, 1))) for b in repeats._scan(2)([batch]) for i in range(b.num_rows)]
+    again = {}
+    for part in {b[0] for b in blobs}:
+        own = list(repeats._blobs([b for b in blobs if b[0] == part]))
+        for batch in repeats._gather(True)(repeats._resolve(1)(own)):
+            again |= {k: len(f) // 4 for k, f in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True) if f}
+    assert set(again) == {40, 41, 42, 43}
+    assert [r[0] for r in cut_by_force(list(enumerate(texts))) if r[2]] == [41, 42, 43]
+
+
 @pytest.mark.parametrize("depth,letters", [(3, 2), (5, 4), (26, 300)])
 def test_run_length_index(depth, letters):
     rng = np.random.default_rng(depth)
