@@ -670,6 +670,34 @@ def test_extraction_by_force(spark):
     assert any(want[k] != "\n".join(t for _, t in found[k]) for k in want)  # the host's runs decide some
 
 
+@pytest.mark.parametrize("host", ["a.org", None])
+def test_template_inside_articles_goes(spark, host):
+    rng = random.Random(21)
+    notice, line, copied = "Get our weekly letter and never miss a story again", "a closing line that every third article shares", words(rng, 60, 5000)
+    own = {k: [words(rng, 30, 5000), *([line] if k % 3 == 0 else []), words(rng, 20, 5000)] for k in range(40)}
+    page = lambda blocks: f"<nav>x</nav><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>"
+    url = lambda k: host and f"http://{host}/{k}"
+    # every page of the host carries the notice, at places and with words of its own
+    pages = [(k, url(k), page([own[k][0], f"{notice} {k}", *own[k][1:]])) for k in own]
+    # copies of one article, one of them with the notice, and a page that is the notice
+    pages += [(100 + k, url(k), page([copied])) for k in range(9)] + [(200, url(200), page([copied, notice])), (201, url(201), page([notice])), (202, url(202), None)]
+    # a host of few pages, and one whose pages are copies with small edits, has no template
+    pages += [(300 + k, f"http://few.org/{k}", page([own[k][0], notice])) for k in range(9)]
+    pages += [(400 + k, f"http://copies.org/{k}", page([copied, f"edited {k}"])) for k in range(30)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.extract(frame).collect()}
+    want = {k: "\n".join(own[k]) for k in own} | {100 + k: copied for k in range(9)} | {200: copied, 201: notice, 202: ""}
+    want |= {300 + k: f"{own[k][0]}\n{notice}" for k in range(9)} | {400 + k: f"{copied}\nedited {k}" for k in range(30)}
+    assert got == want
+
+
+def test_template_keeps_half_of_a_page():
+    runs = {"a b c d", "b c d e", "so"}
+    assert html.without_template("a b c d e\nso\none two three four five six", runs) == "one two three four five six"
+    assert html.without_template("a b c d e\none two", runs) == "a b c d e\none two"
+    assert html.without_template("x a b c d y z\nso it is", runs) == "x a b c d y z\nso it is" and html.without_template("", runs) == ""
+
+
 def test_suffix_array_coverage_by_force():
     rng = random.Random(6)
     texts = [words(rng, rng.randrange(1, 30), 6) for _ in range(40)]
